@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import names
-from lexweave.session import staged
+from lexweave.session import ship, staged
 
 #: Largest component that one task may hold (about 200 bytes a node in Python).
 MAX_COMPONENT = 1_000_000
@@ -155,6 +155,7 @@ def hierarchy(links: DataFrame, with_paths: bool = True, max_component: int = MA
     cycle as root_id; back_edge marks one node per cycle, the one whose parent link closes it (for components above
     ``max_component``, the least node of the cycle).
     """
+    ship(links.sparkSession)
     all_ = staged(doubled(links), "components")
     sizes = all_.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > max_component).select("component")
     small = all_.join(sizes, "component", "left_anti")

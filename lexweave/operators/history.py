@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import names
+from lexweave.session import ship
 from lexweave.operators.integrity import deliveries
 
 #: Days since 1970 that stand for "since ever" and "still".
@@ -78,6 +79,7 @@ def history(versions: DataFrame) -> DataFrame:
     A version ends at the start of the next or at its own ``limit``. Empty periods fall away; then a version that starts
     where the one before it ends, with an equal digest, continues it.
     """
+    ship(versions.sparkSession)
     days = (
         versions.repartition("id")
         .sortWithinPartitions("id", "start")

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ DEFAULTS = {
 }
 
 _local_dirs: list[str] = []
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -61,6 +63,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        build = tempfile.mkdtemp(prefix="lexweave-")
+        _local_dirs.append(build)
+        path = f"{build}/lexweave-{sc.applicationId}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for root, _, files in os.walk(here):
+                for f in files:
+                    if f.endswith(".py"):
+                        z.write(os.path.join(root, f), os.path.relpath(os.path.join(root, f), os.path.dirname(here)))
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
+    return spark
+
+
 def fs_of(spark: SparkSession, path: str):
     """(Hadoop file system, Hadoop path) of a path."""
     jvm = spark.sparkContext._jvm
@@ -85,7 +105,7 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @atexit.register

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import names
-from lexweave.session import fs_of, new_path, staged
+from lexweave.session import fs_of, new_path, ship, staged
 
 ACTION_COLUMNS = ["action_id", "target_id", "target_anchor", "kind", "effective", "text", "revision", "received_at", "feed_pos"]
 
@@ -141,6 +141,7 @@ def current_paragraphs(actions: DataFrame) -> DataFrame:
         .withColumn("seq", names.action_order(F.col("action_id"), F.col("effective")))
         .select("work", "anchor", "kind", "new_anchor", "seq")
     )
+    ship(actions.sparkSession)
     a = staged(a, "actions")
     wipes = a.where((F.col("kind") == "remove") & (F.col("anchor") == "")).groupBy("work").agg(F.max("seq").alias("wipe_seq"))
     # What precedes the removal of the whole work has no effect.
