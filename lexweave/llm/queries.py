@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import splitting, tokens
+from lexweave.llm import leakage, splitting, tokens
 from lexweave.session import table
 
 
@@ -21,7 +21,21 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p8_ids)}
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, and into how many documents of which sources."""
+    hits = p9_scores(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("source").alias("sources"), F.max("words").alias("most_words"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p8_ids, p9_found, p9_scores, p9_items)}
 
 #: Unicode White_Space for RE2.
 _SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.session import ship
+
 #: Unicode White_Space, for Python's patterns.
 SPACE = "\t-\r \x85\xa0  -     　"
 WORD = re.compile(f"[^{SPACE}]+")
@@ -125,6 +127,7 @@ def split_oversized(chunks: DataFrame, policies: DataFrame) -> DataFrame:
     chunks that share an id but not the body are cut separately. Offsets are code points; part counts from 0. A limit
     below 1 is no limit. Only oversized bodies leave the JVM.
     """
+    ship(chunks.sparkSession)
     rules = policies.where(F.col("policy_id").isNotNull() & (F.col("max_size") > 0)).groupBy("policy_id").agg(
         F.max(F.struct("max_size", F.coalesce("overlap_size", F.lit(0)).alias("overlap_size"), "budget_unit")).alias("rule")
     )

@@ -19,6 +19,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.session import ship
+
 #: Where the vocabulary lies; the driver reads it once and broadcasts its ranks (fixed size, below 1 MB).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -164,7 +166,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id
     A null and an empty text give an empty list; rows repeat as they come; other columns are not read. Batches are cut
     by text length, so very long texts do not add up in memory.
     """
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     ranks = spark.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
