@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import leakage, splitting, tokens
+from lexweave.llm import leakage, splitting, tokens, toxicity
 from lexweave.session import table
 
 
@@ -35,7 +35,19 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("source").alias("sources"), F.max("words").alias("most_words"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p8_ids, p9_found, p9_scores, p9_items)}
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).where("flagged").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(p10_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p8_ids, p9_found, p9_scores, p9_items, p10_found, p10_scores, p10_rates)}
 
 #: Unicode White_Space for RE2.
 _SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
