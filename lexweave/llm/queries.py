@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import leakage, splitting, tokens, toxicity
+from lexweave.llm import leakage, pages, splitting, tokens, toxicity
 from lexweave.session import table
 
 
@@ -17,6 +17,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_parts(spark, d).where("nparts > 1 AND part = 0").select("chunk_id").distinct()
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pages.found(table(spark, d, "elements"))
+
+
+def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return pages.paragraphs(table(spark, d, "elements"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
@@ -47,7 +55,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.rates(p10_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p8_ids, p9_found, p9_scores, p9_items, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p7_found, p7_paragraphs, p8_ids, p9_found, p9_scores, p9_items, p10_found, p10_scores, p10_rates)}
 
 #: Unicode White_Space for RE2.
 _SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
