@@ -279,7 +279,7 @@ def trained(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, key:
         .orderBy(F.xxhash64(key), key)
         .limit(max_labelled)
     )
-    rows = docs.select(key, text).where(F.col(text) != "").join(marks, key).select(key, text, "mark").orderBy(key, text)
+    rows = docs.select(key, text).where(F.col(text) != "").join(F.broadcast(marks), key).select(key, text, "mark").orderBy(key, text)
     cache, texts, values = Hashes(), [], []
     for r in rows.toLocalIterator():
         texts += hashes_of([r[1]], cache)
