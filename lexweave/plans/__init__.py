@@ -1,6 +1,6 @@
 """Named queries over the test tables and, where SQL can say it, the same result in ANSI SQL."""
 
-from lexweave.plans import corpus, corpus_sql
+from lexweave.plans import corpus, corpus_sql, retrieval
 
-QUERIES = {**corpus.QUERIES}
-SQL = {**corpus_sql.SQL}
+QUERIES = {**corpus.QUERIES, **retrieval.QUERIES}
+SQL = {**corpus_sql.SQL, **retrieval.SQL}
