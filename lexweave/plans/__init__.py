@@ -1,6 +1,6 @@
 """Named queries over the test tables and, where SQL can say it, the same result in ANSI SQL."""
 
-from lexweave.plans import corpus, corpus_sql, retrieval, structure
+from lexweave.plans import corpus, corpus_sql, quality, retrieval, structure
 
-QUERIES = {**corpus.QUERIES, **retrieval.QUERIES, **structure.QUERIES}
-SQL = {**corpus_sql.SQL, **retrieval.SQL, **structure.SQL}
+QUERIES = {**corpus.QUERIES, **retrieval.QUERIES, **structure.QUERIES, **quality.QUERIES}
+SQL = {**corpus_sql.SQL, **retrieval.SQL, **structure.SQL, **quality.SQL}
