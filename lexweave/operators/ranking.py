@@ -18,12 +18,14 @@ def bm25(docs: DataFrame, query: str, key: str, fields: dict[str, float]) -> Dat
     statistics is crossed in. Terms repeat-free in order of the query; null texts are empty. Scores have 6 places.
     """
     terms = list(dict.fromkeys(_query_terms(query)))
-    rows = docs.select(F.col(key), *(F.coalesce(T.tokens(f), F.array().cast("array<string>")).alias(f"t_{i}") for i, f in enumerate(fields)))
+    # Tokens apart by two blanks: " term " can be counted by plain replacement, without arrays or lambdas.
+    spaced = lambda f: F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(c(f), F.lit(""))), F.lit(" ")), r"[^\p{L}\p{N}]+", "  ")
+    times = lambda x, y: (F.length(x) - F.length(F.replace(x, F.lit(y), F.lit("")))) / len(y)
+    rows = docs.select(F.col(key), *(spaced(f).alias(f"t_{i}") for i, f in enumerate(fields)))
     cols = [F.col(key)]
     for i in range(len(fields)):
-        cols.append(F.size(f"t_{i}").alias(f"len_{i}"))
-        for j, t in enumerate(terms):
-            cols.append(F.size(F.filter(f"t_{i}", _is(t))).alias(f"tf_{i}_{j}"))
+        cols.append((times(F.col(f"t_{i}"), "  ") - 1).alias(f"len_{i}"))
+        cols += [times(F.col(f"t_{i}"), f" {t} ").alias(f"tf_{i}_{j}") for j, t in enumerate(terms)]
     counted = rows.select(*cols)
     pairs = [(i, j) for i in range(len(fields)) for j in range(len(terms))]
     stats = counted.agg(
@@ -38,12 +40,13 @@ def bm25(docs: DataFrame, query: str, key: str, fields: dict[str, float]) -> Dat
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         norm = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"len_{i}") / F.nullif(F.col(f"avg_{i}"), F.lit(0.0))))
         score = score + F.coalesce(F.when(tf > 0, boosts[i] * idf * norm), F.lit(0.0))
-    some = F.greatest(*(F.col(f"tf_{i}_{j}") for i, j in pairs), F.lit(0)) > 0
-    return counted.where(some).crossJoin(F.broadcast(stats)).select(key, F.round(score, 6).alias("score"))
-
-
-def _is(term: str):
-    return lambda x: x == F.lit(term)
+    # Which rows can score is told by the raw text; a filter on the counts would be pushed below them and make them twice.
+    holds = [F.contains(F.lower(F.coalesce(c(f), F.lit(""))), F.lit(t)) for f in fields for t in terms]
+    some = holds[0] if holds else F.lit(False)
+    for h in holds[1:]:
+        some = some | h
+    few = docs.where(some).select(F.col(key), *(spaced(f).alias(f"t_{i}") for i, f in enumerate(fields))).select(*cols)
+    return few.crossJoin(F.broadcast(stats)).select(key, F.round(score, 6).alias("score")).where("score > 0")
 
 
 def _query_terms(query: str) -> list[str]:
