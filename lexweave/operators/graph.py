@@ -132,3 +132,29 @@ def registry_order(works: DataFrame, sources: DataFrame) -> DataFrame:
     w = Window.orderBy(F.col("kind") != "base", F.desc("precedence"), "source_name")
     used = sources.join(works.select("source_name").distinct(), "source_name", "left_semi")
     return used.select("source_name", F.row_number().over(w).cast("int").alias("position"))
+
+
+def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+    """(id, component): the least id of each connected component of an undirected graph, by alternating large and small stars.
+
+    Each round links every node's neighbours to its least one; rows stay of the order of the edges, a hub's neighbours are
+    linked to the least node by a join on the pre-aggregated minimum, never gathered. Ends when no link changes.
+    """
+    links = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    links = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    nodes = pairs.select(F.explode(F.array(a, b)).alias("id")).where("id IS NOT NULL").distinct()
+    for _ in range(rounds):
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # large star: greater neighbours of u to the least of u's neighbourhood
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: u and its lesser neighbours to the least of them
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        new = staged(small, "links")
+        if new.count() == links.count() and new.exceptAll(links).isEmpty():
+            break
+        links = new
+    else:
+        raise RuntimeError("no fixpoint within the given rounds")
+    return nodes.join(links.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -117,3 +117,32 @@ def tables_of(rows: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "table", "line", "row", "flat"])
 
     return rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(run, "key string, table int, line int, row int, flat string")
+
+
+def packed_windows(rows: DataFrame, group: str, order: str, text: str, most: int = 6000) -> DataFrame:
+    """(group, window, first, last, chars, text): neighbouring regions packed greedily into windows of at most ``most``
+    characters; a longer region is a window of its own. Streams over the sorted rows, one window in memory."""
+    ship(rows.sparkSession)
+    columns = [group, "window", "first", "last", "chars", "text"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, held, size, first, last = None, 0, [], 0, 0, 0
+        for pdf in batches:
+            out = []
+            for g, o, t in zip(pdf["g"], pdf["o"], pdf["t"]):
+                if held and (g != now or size + 1 + len(t) > most):
+                    out.append((now, n, first, last, size, "\n".join(held)))
+                    n, held, size = n + 1, [], 0
+                if g != now:
+                    now, n = g, 0
+                if not held:
+                    first = o
+                size += len(t) + (1 if held else 0)
+                held.append(t)
+                last = o
+            yield pd.DataFrame(out, columns=columns)
+        if held:
+            yield pd.DataFrame([(now, n, first, last, size, "\n".join(held))], columns=columns)
+
+    data = rows.where(F.col(text).isNotNull() & F.col(group).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(order).cast("bigint").alias("o"), F.col(text).alias("t"))
+    return data.repartition("g").sortWithinPartitions("g", "o").mapInPandas(run, f"`{group}` string, window int, first bigint, last bigint, chars int, text string")

@@ -151,3 +151,41 @@ def reconciled(known: DataFrame, incoming: DataFrame, native: str, digest: str)
 def leaking_splits(tasks: DataFrame, query: str, split: str) -> DataFrame:
     """Queries that stand in more than one split."""
     return tasks.groupBy(query).agg(F.countDistinct(split).alias("splits")).where("splits > 1")
+
+
+def hard_questions(ranks: DataFrame, query: str, lexical: str, vector: str, n: int) -> DataFrame:
+    """Questions that neither baseline solves within rank ``n`` (a null rank is not found)."""
+    worst = 2**31 - 1
+    return ranks.where(F.least(F.coalesce(lexical, F.lit(worst)), F.coalesce(vector, F.lit(worst))) > n).select(query)
+
+
+def passage_audit(passages: DataFrame, body: str, words: Column, short: int = 20) -> DataFrame:
+    """One row: passages, distinct bodies, short ones, and the median of their words (nearest rank)."""
+    return passages.select(body, words.alias("w")).agg(
+        F.count("*").alias("passages"), F.countDistinct(F.sha2(body, 256)).alias("distinct_bodies"), F.count_if(F.col("w") < short).alias("short"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY w)").alias("median_words")
+    )
+
+
+def coverage(items: DataFrame, by: str, state: str) -> DataFrame:
+    """(by, proposed, agreed, published, withheld): what became of everything that was proposed."""
+    n = lambda *s: F.count_if(F.col(state).isin(*s))
+    return items.groupBy(by).agg(F.count("*").alias("proposed"), n("agreed", "published").alias("agreed"), n("published").alias("published"), n("withheld").alias("withheld"))
+
+
+def quota_split(rows: DataFrame, group: str, key: str, quota: int, seed: str) -> DataFrame:
+    """(group, rows, split): whole groups in seeded order go to tuning until the quota of rows is met, the rest is held out."""
+    sizes = rows.groupBy(group).agg(F.count(key).alias("rows"))
+    w = Window.orderBy(F.sha2(F.concat(F.lit(seed), F.col(group).cast("string")), 256), group).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("rows").over(w), F.lit(0))
+    return sizes.withColumn("split", F.when(before < quota, "tuning").otherwise("heldout"))
+
+
+def reusable_stages(receipts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(stage, reuse): a stage's last complete receipt may be reused iff its input key and output digest are those wanted.
+
+    receipts: stage, attempt, input_key, output_digest, complete; wanted: stage, input_key, output_digest.
+    """
+    last = latest(receipts.where("complete").select("stage", "attempt", "input_key", "output_digest"), "stage", ["attempt"])
+    both = wanted.alias("w").join(last.alias("l"), "stage", "left")
+    same = F.col("w.input_key").eqNullSafe(F.col("l.input_key")) & F.col("w.output_digest").eqNullSafe(F.col("l.output_digest")) & F.col("l.attempt").isNotNull()
+    return both.select("stage", F.coalesce(same, F.lit(False)).alias("reuse"))

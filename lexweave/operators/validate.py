@@ -100,3 +100,29 @@ def similar_contexts(sections: DataFrame, least: float = 0.8) -> DataFrame:
     return pairs.join(wa, ["source_name", "a"]).join(wb, ["source_name", "b"]).withColumn("jaccard", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6)).where(F.col("jaccard") >= least).select("source_name", "a", "b", "jaccard")
 
 
+
+
+def round_trip(published: DataFrame, source: DataFrame, key: str, text: str, exact: bool = True) -> DataFrame:
+    """(key, state): passed if the published tokens are the source's in order (``exact``), or a run within them; failed; or
+    missing for no source."""
+    a = published.select(key, F.coalesce(T.tokens(T.plain(text)), F.array().cast("array<string>")).alias("a"))
+    b = source.select(key, F.coalesce(T.tokens(T.plain(text)), F.array().cast("array<string>")).alias("b"), F.lit(True).alias("there"))
+    same = (F.col("a") == F.col("b")) if exact else T.holds_run(F.col("b"), F.col("a"))
+    return a.join(b, key, "left").select(key, F.when(F.col("there").isNull(), "missing").when(same, "passed").otherwise("failed").alias("state"))
+
+
+def unlocated_tables(published: DataFrame, source: DataFrame, key: str, grid: str) -> DataFrame:
+    """Keys of published tables whose cells (blanks squeezed, case-blind) are those of no source table of the same key."""
+    norm = lambda g: F.transform(g, lambda r: F.transform(r, lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))))
+    a = published.select(key, F.sha2(F.to_json(norm(F.col(grid))), 256).alias("digest"))
+    b = source.select(key, F.sha2(F.to_json(norm(F.col(grid))), 256).alias("digest"))
+    return a.join(b, [key, "digest"], "left_anti").select(key).distinct()
+
+
+def stale_bindings(checks: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(item, stale): a check holds only while the digest of all its inputs, in order of name, is the one it was bound to.
+
+    checks: item, bound; inputs: item, name, digest.
+    """
+    now = inputs.groupBy("item").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "name", "digest"))), "\n"), 256).alias("now"))
+    return checks.join(now, "item", "left").select("item", (~F.col("bound").eqNullSafe(F.col("now"))).alias("stale"))
