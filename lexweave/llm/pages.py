@@ -190,7 +190,7 @@ def furniture(lines: DataFrame) -> DataFrame:
         .withColumn("key", _fold(F.lower("bare")))
     )
     per_file = Window.partitionBy("doc_sha")  # of distinct keys and offsets, not of lines
-    worded = F.col("value").isNull() & (F.length("key") >= 6) & ~F.col("text").rlike(r"[.;:,]$") & ~F.col("text").rlike(r"^§")
+    worded = F.col("value").isNull() & (F.length("key") >= 6) & ~F.col("text").rlike(r"[.;:,]$|^§|^\[.*\]$")
     keys = (
         edges.where(worded)
         .groupBy("doc_sha", "key")
@@ -232,6 +232,21 @@ def furniture(lines: DataFrame) -> DataFrame:
     )
 
 
+def single_furniture(body: DataFrame) -> DataFrame:
+    """(doc_sha, page, seq, defect) of running lines that a file shows once, in ``body`` as left by ``furniture``.
+
+    The extractor calls the line furniture (or a heading), it stands at an edge of its page, opens with a capital or a number
+    and closes no sentence; and the text around it runs on without it: what comes before is unfinished, or what
+    follows does not continue it.
+    """
+    w = Window.partitionBy("doc_sha", "page")
+    near = body.select("*", F.row_number().over(w.orderBy("seq")).alias("t"), F.row_number().over(w.orderBy(F.desc("seq"))).alias("b")).where("t = 1 OR b = 1")
+    unlike = F.col("type").isin("header", "footer", "other", "heading") & F.col("text").rlike(r"^[\p{Lu}0-9]") & ~F.col("text").rlike(r"[.;:,]$|^§|^\[.*\]$") & ~F.col("cut")
+    unfinished = F.col("text_before").isNotNull() & ~F.col("text_before").rlike(r"[.;:!?][\p{Pf}\")\]]*$|^§")
+    continued = F.coalesce(F.col("next_word").rlike(r"^\p{Ll}"), F.lit(False))
+    return near.where(unlike & (unfinished | ~continued)).select("doc_sha", "page", "seq", F.lit("header").alias("defect"))
+
+
 def _is_running(text: Column, type_: Column) -> Column:
     """Running text or a heading: it holds words or the rest of a citation, and is no row of a table."""
     return text.rlike(r"\p{Ll}{2}|^[0-9]+\.[0-9]+(\([a-z0-9]+\))*[.,;]?$") & ~((type_ == "table") & (F.size(F.split(text, r"\s+")) <= 4))
@@ -271,7 +286,9 @@ def repair(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ``joined`` true and the whole word as meant.
     """
     lines = staged(lines_of(elements), "lines")
-    marks = staged(furniture(lines), "furniture")
+    repeated = staged(furniture(lines), "furniture")
+    once = single_furniture(staged(body_of(lines, repeated), "body"))
+    marks = staged(repeated.unionByName(once), "furniture")
     body = staged(body_of(lines, marks), "body")
 
     last = F.size("words") - 1
