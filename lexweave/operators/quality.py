@@ -47,7 +47,7 @@ def bootstrap(rows: DataFrame, value: str, by: str, rounds: int = 1000, seed: in
         yield pd.DataFrame([(g, i, t[i], w[i]) for g, (t, w) in sums.items() for i in range(rounds)], columns=["g", "i", "t", "w"])
 
     data = rows.where(F.col(value).isNotNull()).select(F.col(by).cast("string").alias("g"), F.xxhash64(*rows.columns).alias("h"), F.col(value).cast("double").alias("v"))
-    sums = data.mapInPandas(partial, "g string, i int, t double, w double").groupBy("g", "i").agg((F.sum("t") / F.sum("w")).alias("mean"))
+    sums = data.mapInPandas(partial, "g string, i int, t double, w double").groupBy("g", "i").agg((F.sum("t") / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean"))
     at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY mean)")
     return sums.where("mean IS NOT NULL").groupBy(F.col("g").alias(by)).agg(at(0.025).alias("low"), at(0.975).alias("high"))
 
