@@ -75,7 +75,7 @@ def pinned_list(spark: SparkSession, d: str) -> DataFrame:
 def abstain(spark: SparkSession, d: str) -> DataFrame:
     """For every evaluation item: would the engine abstain, given the share of its words that its best document has?"""
     items = table(spark, d, "eval_items").select("item_id", F.array_distinct(T.tokens("text")).alias("q"))
-    share = F.size(F.array_intersect("q", F.array(*(F.lit(t) for t in Q.split())))) / F.size("q")
+    share = F.coalesce(F.size(F.array_intersect("q", F.array(*(F.lit(t) for t in Q.split())))) / F.nullif(F.size("q"), F.lit(0)), F.lit(0.0))
     return items.select("item_id", ranking.abstains(share, F.lit(None).cast("double"), F.lit(0)).alias("abstains"))
 
 

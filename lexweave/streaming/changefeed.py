@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import names
 from lexweave.session import fs_of, new_path, ship, staged
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ACTION_COLUMNS = ["action_id", "target_id", "target_anchor", "kind", "effective", "text", "revision", "received_at", "feed_pos"]
 
 
@@ -71,15 +72,22 @@ def apply_stream(feed: DataFrame, out: str, checkpoint: str, with_text: bool = F
     def publish(upserts: DataFrame, batch: int) -> None:
         upserts.select("action_id", "payload.*", "sequence").write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    (
-        latest_actions(feed, with_text)
-        .writeStream.outputMode("update")
-        .foreachBatch(publish)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    # State on local disk with changelogs in the checkpoint, so that a feed of any size fits; a session's own choice wins.
+    chosen = spark.conf.get(STATE_STORE)
+    if chosen.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(STATE_STORE, chosen.replace("HDFSBackedStateStoreProvider", "RocksDBStateStoreProvider"))
+    try:
+        query = (
+            latest_actions(feed, with_text)
+            .writeStream.outputMode("update")
+            .foreachBatch(publish)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, chosen)
     fs, p = fs_of(spark, out)
     if not fs.exists(p):
         return latest_actions(spark.createDataFrame([], feed.schema), with_text).select("action_id", "payload.*", "sequence")
