@@ -161,7 +161,16 @@ def definition_scope(spark: SparkSession, d: str) -> DataFrame:
     return definitions.resolve(asked, defined, closure)
 
 
-NAMES = "as_of_snapshot active_at build_current version_chain supersession_faults history_steps tree_walk breadcrumb ancestors subtree_counts child_lists scope_filter subtree_dates registry_order edge_list refs_in_counts refs_out_counts unresolved_refs overridden_by narrowed_by refs_bfs connected held_closure definitions_found term_usage definition_scope"
+def work_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Works tied by parent links, either way: the least id of each group."""
+    n = table(spark, d, "nodes").select(names.plain_work("id").alias("a"), names.plain_work("parent").alias("b"))
+    known = n.select(F.col("a").alias("b")).where("b IS NOT NULL").distinct()
+    links = n.where("b IS NOT NULL").join(known, "b", "left_semi").select("a", "b")
+    alone = n.where("a IS NOT NULL").select("a", F.col("a").alias("b"))
+    return graph.components(links.unionByName(alone), "a", "b")
+
+
+NAMES = "work_groups as_of_snapshot active_at build_current version_chain supersession_faults history_steps tree_walk breadcrumb ancestors subtree_counts child_lists scope_filter subtree_dates registry_order edge_list refs_in_counts refs_out_counts unresolved_refs overridden_by narrowed_by refs_bfs connected held_closure definitions_found term_usage definition_scope"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _D = "coalesce(strftime({x}, '%Y-%m-%d'), '')"
@@ -184,6 +193,7 @@ _LABELS = f"labels_ AS (SELECT {work('id')} AS id, min(title) AS title FROM node
 _DEF = r"(?m)^(?:\([a-z0-9]{1,4}\)\s*)*\*?([A-Z][\p{L}\p{N}-]*(?: [\p{L}\p{N}-]+){0,5}?)\*?,? (?:means|shall mean|is defined as|includes|refers to) "
 
 SQL = {
+    "work_groups": f"{_T}, every AS (SELECT id, root_id FROM down WHERE tree = 'nodes' UNION ALL SELECT id, root_id FROM cyclic WHERE tree = 'nodes') SELECT id, min(id) OVER (PARTITION BY root_id) AS component FROM every",
     "as_of_snapshot": f"WITH {_DELIVERED} SELECT wid AS id, {_D.format(x='eff')} AS effective, title FROM (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY eff DESC NULLS LAST) AS n FROM delivered WHERE eff IS NULL OR eff <= DATE '{DAY}') WHERE n = 1 AND (ret IS NULL OR ret > DATE '{DAY}')",
     "active_at": f"WITH {_DELIVERED} SELECT wid AS id, {_D.format(x='eff')} AS effective FROM delivered WHERE eff IS NULL OR eff <= DATE '{DAY}'",
     "build_current": f"WITH {_DELIVERED} SELECT wid AS id, {_D.format(x='eff')} AS effective FROM (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY superseded_by IS NULL DESC, eff DESC NULLS LAST) AS n FROM delivered) WHERE n = 1",
