@@ -9,6 +9,9 @@
    ``min_cosine`` is a candidate, without any cap.
 4. Candidates are checked by a weighted ordered alignment (a longest common subsequence whose words count by rarity,
    with gap costs and one cheap jump over an interruption) and the answer words it has to hold.
+5. Neither similarity nor rarity can drop a passage: wherever ``span`` blocks share as many word triples with an item as
+   ``min_words`` words in that few pieces must, the longest chain of matched words (few rewordings and interruptions)
+   decides alone.
 """
 
 from __future__ import annotations
@@ -31,13 +34,18 @@ BLOCK = 16  # tokens; a passage is two adjacent blocks
 @dataclass(frozen=True)
 class Params:
     """rank: latent dimensions. min_cosine: least similarity of a candidate passage. min_words: words of the item that
-    must be matched in order. min_score: least alignment score a leak has (a rare word counts 10)."""
+    must be matched in order. min_score: least alignment score a leak has (a rare word counts 10). rewordings,
+    interruptions: most words of the item left out and most interruptions in a chain of matched words that needs no score
+    (``chained``); span: blocks it lies within."""
 
     rank: int = 160
     extra: int = 16
     min_cosine: float = 0.52
     min_words: int = 20
     min_score: int = 100
+    rewordings: int = 2
+    interruptions: int = 1
+    span: int = 7
     sketch_block: int = 64
     seed: int = 11
 
@@ -254,6 +262,41 @@ def align_score(doc: np.ndarray, item: np.ndarray, gain: np.ndarray, gap: int =
     return best
 
 
+def chained(doc: np.ndarray, item: np.ndarray, rewordings: int, interruptions: int) -> np.ndarray:
+    """Most words of each pair matched in order, every word counting one. doc and item as in ``align``.
+
+    Between two matches there may be up to 3 other words of the document, at an interruption up to 31, and words of the item
+    may be left out. ``rewordings`` bounds the words of the item left out in all (at least one where there is no
+    interruption), so what remains is nearly all of a stretch of the item, not the frame that sentences have in common.
+    """
+    pairs, n = doc.shape
+    doc, item = np.ascontiguousarray(doc.T), np.ascontiguousarray(item.T)
+    kind = np.uint8 if len(item) < 255 else np.int32
+    row = np.zeros((interruptions + 1, rewordings + 1, n, pairs), kind)
+    best = np.zeros(pairs, kind)
+    near: list[np.ndarray] = []  # best end of a chain in the 4 (far: 32) places up to each, of the last words of the item
+    far: list[np.ndarray] = []
+    for w in item:
+        new = np.zeros_like(row)
+        new[:, :, 1:] = row[:, :, :-1]
+        for left, x in enumerate(reversed(near)):
+            r = max(1, left)
+            np.maximum(new[:, r:, 1:], x[:, :-r, :-1], out=new[:, r:, 1:])
+        for left, x in enumerate(reversed(far)):
+            np.maximum(new[1:, left:, 1:], x[:-1, : rewordings + 1 - left, :-1], out=new[1:, left:, 1:])
+        new += kind(1)
+        new *= doc == w
+        np.maximum(best, new[-1, -1].max(0), out=best)
+        reach = new.copy()
+        for k in (1, 2, 4, 8, 16):
+            reach[:, :, k:] = np.maximum(reach[:, :, k:], reach[:, :, :-k])
+            if k == 2:
+                near = [*near, reach.copy()][-rewordings - 1 :]
+        far = [*far, reach][-rewordings - 1 :]
+        row = new
+    return best
+
+
 class Searcher:
     """Projects passages, finds candidates, and checks them; made on each worker from what is broadcast."""
 
@@ -274,6 +317,44 @@ class Searcher:
             v = table[np.array(rows, np.int32).reshape(-1, 2 * BLOCK)].sum(1)
             self.passages.append((v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-6)).T.copy())
             self.owner.append(np.array(owner, np.int64))
+        size = len(items.vocabulary)
+        codes = [np.unique(self._triples(t.astype(np.int64), size)) for t in items.tokens]
+        code, of = np.concatenate([*codes, np.empty(0, np.int64)]), np.repeat(np.arange(len(codes)), [len(x) for x in codes])
+        order = np.argsort(code, kind="stable")
+        self.triples, self.triple_at, self.triple_n = np.unique(code[order], return_index=True, return_counts=True)
+        self.triple_owner = of[order]
+
+    @staticmethod
+    def _triples(t: np.ndarray, size: int) -> np.ndarray:
+        return (t[:-2] * size + t[1:-1]) * size + t[2:]
+
+    def alike(self, ids: np.ndarray, cells: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+        """(block, item) where the ``span`` blocks from there on share enough word triples with the item: a chain of m words
+        in k pieces has m - 2k at least. Blocks of the next text count too; that only adds candidates."""
+        n, p = len(self.items.keys), self.p
+        least = max(1, p.min_words - 2 * (p.rewordings + p.interruptions + 1))
+        found = [np.empty(0, np.int64)]
+        if not len(self.triples):
+            return found[0], found[0]
+        step = max(8, cells // n)
+        for lo in range(0, len(ids), step):
+            part = ids[lo : lo + step + p.span]
+            flat = part.ravel().astype(np.int64)
+            code = self._triples(flat, len(self.items.vocabulary))
+            at = np.minimum(np.searchsorted(self.triples, code), len(self.triples) - 1)
+            pos = np.flatnonzero((self.triples[at] == code) & (flat[:-2] >= 0) & (flat[1:-1] >= 0) & (flat[2:] >= 0))
+            many = self.triple_n[at[pos]]
+            nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            owner = self.triple_owner[np.repeat(self.triple_at[at[pos]], many) + nth]
+            rows = len(part) + p.span - 1
+            count = np.bincount(np.repeat(pos // BLOCK * n, many) + owner, minlength=rows * n).reshape(rows, n).astype(np.int16)
+            total = count[: len(part)].copy()
+            for k in range(1, p.span):
+                total += count[k : k + len(part)]
+            r, c = np.nonzero(total[:step] >= least)
+            found.append((r + lo) * n + c)
+        code = np.concatenate(found)
+        return code // n, code % n
 
     def candidates(self, ids: np.ndarray, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """(block, item) with a passage (the block and the next) that is like a passage of the item."""
@@ -305,9 +386,16 @@ class Searcher:
         if not self.items.keys or not texts:
             return []
         ids, first = blocks_of(texts, BLOCK)
+        out = self._aligned(ids, first)
+        for key, (score, matched) in self._chained(ids, first, out).items():
+            s, m = out.get(key, (0, 0))
+            out[key] = (max(s, score), max(m, matched))
+        return [(t, k, s, m) for (t, k), (s, m) in out.items()]
+
+    def _aligned(self, ids: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
         block, item = self.candidates(ids)
         if not len(block):
-            return []
+            return {}
         text = np.searchsorted(first, block, "right") - 1
         # Candidates of one pair that lie near each other are one region; the region gets the item's length around it.
         order = np.lexsort((block, item, text))
@@ -322,15 +410,9 @@ class Searcher:
         lo = np.maximum(first[text], start - reach - 2)
         hi = np.minimum(first[text + 1], last + 2 + reach + 2)
         out: dict[tuple[int, int], tuple[int, int]] = {}
-        size = hi - lo
-        for group in self._groups(size, np.array([len(t) for t in self.items.tokens])[item]):
-            width, high = int(size[group].max()), max(len(self.items.tokens[k]) for k in item[group])
-            doc = np.full((len(group), width * BLOCK), -1, np.int32)
-            query = np.full((len(group), high), -2, np.int32)
-            for g, r in enumerate(group):
-                part = ids[lo[r] : hi[r]].ravel()
-                doc[g, : len(part)] = part
-                query[g, : len(self.items.tokens[item[r]])] = self.items.tokens[item[r]]
+        for group in self._groups(hi - lo, np.array([len(t) for t in self.items.tokens])[item]):
+            doc, query = self._padded(ids, lo[group], hi[group], item[group])
+            high = query.shape[1]
             if high * 10 < 32_000:  # nearly all candidates end here
                 likely = align_score(*((x.astype(np.int16) for x in (doc, query)) if len(self.gain) < 32_000 else (doc, query)), self.gain) >= self.p.min_score - 12
                 group, doc, query = group[likely], doc[likely], query[likely]
@@ -341,7 +423,45 @@ class Searcher:
                 if m >= self.p.min_words and s >= self.p.min_score:
                     key = (int(text[r]), int(item[r]))
                     out[key] = max(out.get(key, (0, 0)), (int(s), int(m)))
-        return [(t, k, s, m) for (t, k), (s, m) in out.items()]
+        return out
+
+    def _chained(self, ids: np.ndarray, first: np.ndarray, known: dict) -> dict[tuple[int, int], tuple[int, int]]:
+        block, item = self.alike(ids)
+        text = np.searchsorted(first, block, "right") - 1
+        n = len(self.items.keys)
+        rest = ~np.isin(text * n + item, [t * n + k for t, k in known])
+        text, item, block = text[rest], item[rest], block[rest]
+        if not len(block):
+            return {}
+        order = np.lexsort((block, item, text))
+        text, item, block = text[order], item[order], block[order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (block[1:] - block[:-1] > 1)
+        at = np.flatnonzero(new)
+        last = block[np.append(at[1:] - 1, len(block) - 1)]
+        text, item, lo = text[at], item[at], block[at]
+        hi = np.minimum(first[text + 1], last + self.p.span)
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        for group in self._groups(hi - lo, np.array([len(t) for t in self.items.tokens])[item], 10_000):
+            doc, query = self._padded(ids, lo[group], hi[group], item[group])
+            matched = chained(doc, query, self.p.rewordings, self.p.interruptions)
+            holds = matched >= self.p.min_words
+            if holds.any():
+                score, _ = align(doc[holds], query[holds], self.gain)
+                for r, s, m in zip(group[holds], score, matched[holds]):
+                    key = (int(text[r]), int(item[r]))
+                    out[key] = max(out.get(key, (0, 0)), (int(s), int(m)))
+        return out
+
+    def _padded(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks and items of a group as the rows that alignments take."""
+        doc = np.full((len(lo), int((hi - lo).max()) * BLOCK), -1, np.int32)
+        query = np.full((len(lo), max(len(self.items.tokens[k]) for k in item)), -2, np.int32)
+        for g, (a, b, k) in enumerate(zip(lo, hi, item)):
+            part = ids[a:b].ravel()
+            doc[g, : len(part)] = part
+            query[g, : len(self.items.tokens[k])] = self.items.tokens[k]
+        return doc, query
 
     @staticmethod
     def _groups(size: np.ndarray, length: np.ndarray, cells: int = 60_000) -> Iterator[np.ndarray]:

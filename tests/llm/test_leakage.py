@@ -86,3 +86,50 @@ def test_alignment_against_loops():
 def test_blocks(sizes):
     ids, first = lk.blocks_of([np.arange(n, dtype=np.int32) for n in sizes], 16)
     assert len(first) == len(sizes) + 1 and len(ids) == first[-1]
+
+
+def slow_chain(doc, item, rewordings, interruptions):
+    """By trying every earlier match: states are (place, words of the item, rewordings, interruptions)."""
+    ends = {}
+    for i, w in enumerate(item):
+        for j, x in enumerate(doc):
+            if x != w:
+                continue
+            ends[i, j, 0, 0] = 1
+            for (i2, j2, r, q), m in [e for e in ends.items() if e[0][0] < i and e[0][1] < j]:
+                di, dj = i - i2 - 1, j - j2 - 1
+                nexts = [(r, q)] if di == dj == 0 else [(r + max(1, di), q)] * (dj <= 3) + [(r + di, q + 1)] * (dj <= 31)
+                for r2, q2 in nexts:
+                    if r2 <= rewordings and q2 <= interruptions:
+                        ends[i, j, r2, q2] = max(ends.get((i, j, r2, q2), 1), m + 1)
+    return max(ends.values(), default=0)
+
+
+def test_chains_against_loops():
+    rng = np.random.default_rng(2)
+    for _ in range(12):
+        doc, item = rng.integers(-1, 9, (3, 48)).astype(np.int32), rng.integers(0, 9, (3, 10)).astype(np.int32)
+        got = lk.chained(doc, item, 2, 1)
+        assert got.tolist() == [slow_chain(doc[i].tolist(), item[i].tolist(), 2, 1) for i in range(3)]
+
+
+def test_common_words_interrupted_and_reworded(spark):
+    """Passages of 22 words that every document is full of: two reworded, an interruption of 8 to 20, one copied widely."""
+    rnd = random.Random(9)
+    voc = {lang: [f"{lang}{i}" for i in range(60)] for lang in ("en", "de", "fr")}
+    text = lambda lang, k: [rnd.choice(voc[lang]) for _ in range(k)]
+    items = [(10 * n + i, text(lang, 60), lang) for n, lang in enumerate(voc) for i in range(3)]
+    docs, want = [(d, " ".join(text(rnd.choice([*voc]), rnd.randint(60, 200)))) for d in range(300)], set()
+    for d in range(300, 345):
+        key, words, lang = items[d % 9]
+        start, cut = rnd.randint(0, 38), rnd.randint(3, 19)
+        part = words[start : start + 22]
+        for x in rnd.sample(range(1, 21), 2):
+            part[x] = "other"
+        body = " ".join(text(lang, 50) + part[:cut] + text(lang, rnd.randint(8, 20)) + part[cut:] + text(lang, 50))
+        for copy in range(30 if d == 300 else 1):
+            docs.append((d + 1000 * copy, body))
+            want.add((d + 1000 * copy, key))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    ev = spark.createDataFrame([(k, " ".join(w), lang) for k, w, lang in items], "item_id bigint, text string, lang string")
+    assert {(r.doc_id, r.item_id) for r in lk.leaked(df, ev).collect()} == want
