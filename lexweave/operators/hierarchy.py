@@ -41,8 +41,10 @@ def single_parent(rows: DataFrame, id: str = "id", parent: str = "parent", at: C
 def doubled(links: DataFrame) -> DataFrame:
     """(id, parent, component, dist, rooted): the root and the distance to it, or the smallest id on the cycle.
 
-    Rounds go on until every node has met a root, or until ``2^k`` exceeds the number that have not: those then stand on
-    their cycle, and the least id of the ``2^k`` nodes ahead of them is the least of the cycle.
+    Rounds go on until every node has met a root, or until a round lets no further node meet one and ``2^k`` is not below
+    the number of those left. As long as a rooted node is open, so is the one of depth ``2^k`` above it (or itself), and the
+    next round closes that; so those left have no root. No way to a cycle nor the cycle is longer than their number: ``2^k``
+    steps ahead they stand on it, and the least id of the ``2^k`` nodes from there is the least of the cycle.
     """
     now = links.select(
         "id",
@@ -53,11 +55,12 @@ def doubled(links: DataFrame) -> DataFrame:
         F.col("id").alias("least"),
     )
     now = staged(now, "links")
-    k = 0
+    k, before = 0, None
     while True:
         open_ = now.where(~F.col("done")).count()
-        if open_ == 0 or 2**k > 2 * open_:
+        if open_ == 0 or (open_ == before and 2**k >= open_):
             break
+        before = open_
         ahead = now.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"), F.col("least").alias("least2"))
         moved = now.where(~F.col("done")).join(ahead, "jump")
         now = staged(

@@ -133,6 +133,17 @@ def test_random_trees(spark, largest):
     assert pairs == {(r.path[i], r.id, r.depth - i) for r in got if r.depth > 0 for i in range(r.depth)}
 
 
+@pytest.mark.parametrize("largest", [1_000_000, 3])
+@pytest.mark.parametrize("depth", [4, 9, 10, 20, 44])
+def test_deep_chains(spark, depth, largest):
+    """The greatest id is the root, and the few deepest nodes are open last."""
+    ids = [f"UCR:{999 - d}-1" for d in range(depth + 1)]
+    parent = dict(zip(ids, [None, *ids]))
+    got = hierarchy.hierarchy(hierarchy.single_parent(spark.createDataFrame([*parent.items()], "id string, parent string")), max_component=largest).collect()
+    assert {r.id: (r.root_id, r.depth) for r in got} == plain_tree(parent) and len(got) == len(parent)
+    assert {r.id: r.path for r in got if r.depth >= 0} == {x: ids[: d + 1] for d, x in enumerate(ids)}
+
+
 def test_empty_tree(spark):
     assert hierarchy.hierarchy(hierarchy.single_parent(spark.createDataFrame([], "id string, parent string"))).count() == 0
 
