@@ -120,6 +120,42 @@ def abstains(lexical: Column, cosine: Column, pins: Column) -> Column:
     return (pins == 0) & weak
 
 
+def best_share(items: DataFrame, docs: DataFrame, item_key: str, text: str) -> DataFrame:
+    """(item_key, share) of every item: the greatest share of its distinct words that one document has; 0 without words.
+
+    The items are collected (they alone bound what is broadcast); every document is compared with all of them.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = items.sparkSession
+    rows = [tuple(r) for r in items.select(item_key, F.array_distinct(T.tokens(text))).toLocalIterator()]
+    voc: dict[str, int] = {}
+    asked = [[voc.setdefault(t, len(voc)) for t in q or []] for _, q in rows]
+    shared = spark.sparkContext.broadcast((voc, asked))
+
+    def run(batches):
+        voc, asked = shared.value
+        has = np.zeros((len(voc), len(asked)), np.float32)
+        for k, q in enumerate(asked):
+            has[q, k] = 1
+        best = np.zeros(len(asked), np.float32)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for i in range(0, len(texts), 512):
+                docs = np.zeros((len(texts[i : i + 512]), len(voc)), np.float32)
+                for n, tokens in enumerate(texts[i : i + 512]):
+                    docs[n, [voc[t] for t in tokens if t in voc]] = 1
+                best = np.maximum(best, (docs @ has).max(0, initial=0))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(best)), pa.int64()), pa.array(best.astype(int), pa.int64())], names=["nth", "hits"])
+
+    found = docs.where(F.col(text).isNotNull()).select(F.array_distinct(T.tokens(text)).alias("t")).mapInArrow(run, "nth bigint, hits bigint")
+    hits = found.groupBy("nth").agg(F.max("hits").alias("hits"))
+    kind = items.schema[item_key].dataType.simpleString()
+    keys = spark.createDataFrame([(n, k, len(q)) for n, ((k, _), q) in enumerate(zip(rows, asked))], f"nth bigint, {item_key} {kind}, words bigint")
+    return keys.join(hits, "nth", "left").select(item_key, F.coalesce(F.col("hits") / F.nullif(F.col("words"), F.lit(0)), F.lit(0.0)).alias("share"))
+
+
 def best_lines(docs: DataFrame, query: str, key: str, text: str, cap: int = 220) -> DataFrame:
     """(key, line_no, hits, snippet): the line with most distinct query terms, the first of equals, cut at ``cap`` characters."""
     terms = F.array(*(F.lit(t) for t in dict.fromkeys(_query_terms(query))))

@@ -73,12 +73,20 @@ def pinned_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def abstain(spark: SparkSession, d: str) -> DataFrame:
-    """For every evaluation item: would the engine abstain, given the share of its words that its best document has?"""
+    """For every evaluation item: would the engine abstain, given the share of its words that are words of ``Q``? (No
+    search, as in its SQL; ``abstain_searched`` searches.)"""
     items = table(spark, d, "eval_items").select("item_id", F.array_distinct(T.tokens("text")).alias("q"))
     share = F.coalesce(F.size(F.array_intersect("q", F.array(*(F.lit(t) for t in Q.split())))) / F.nullif(F.size("q"), F.lit(0)), F.lit(0.0))
     return items.select("item_id", ranking.abstains(share, F.lit(None).cast("double"), F.lit(0)).alias("abstains"))
 
 
+def abstain_searched(spark: SparkSession, d: str) -> DataFrame:
+    """For every evaluation item: would the engine abstain, given the share of its words that its best document has? (Items
+    have no vectors.)"""
+    share = ranking.best_share(table(spark, d, "eval_items"), _docs(spark, d), "item_id", "text")
+    return share.select("item_id", ranking.abstains(F.col("share"), F.lit(None).cast("double"), F.lit(0)).alias("abstains"))
+
+
 def best_line(spark: SparkSession, d: str) -> DataFrame:
     return ranking.best_lines(_docs(spark, d), Q, "doc_id", "text")
 
@@ -168,7 +176,7 @@ def run_containment(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(items, "run").select("doc_id", "item_id")
 
 
-NAMES = "lex_bm25_top lex_bm25_filtered lex_fielded vec_top vec_filtered rrf_fused rrf_signals collapse_best pinned_list abstain best_line seed_budget grep_lines grep_word grep_multi grep_counts grep_context grep_files grep_bounded gram_candidates gram_pairs id_tokens slugs citation_tokens cited_sections token_jaccard levenshtein_sim run_containment"
+NAMES = "lex_bm25_top lex_bm25_filtered lex_fielded vec_top vec_filtered rrf_fused rrf_signals collapse_best pinned_list abstain abstain_searched best_line seed_budget grep_lines grep_word grep_multi grep_counts grep_context grep_files grep_bounded gram_candidates gram_pairs id_tokens slugs citation_tokens cited_sections token_jaccard levenshtein_sim run_containment"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _TOK = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"

@@ -77,3 +77,14 @@ def test_notices(spark):
 
     v = spark.createDataFrame([("k", date(2020, 1, 1), False), ("k", date(2021, 1, 1), True), ("k", date(2022, 1, 1), None)], "k string, d date, gone boolean")
     assert str(notices.versions_at(v, "k", "d", "gone", "2021-06-01").first().d) == "2020-01-01"
+
+
+def test_abstention_searches_every_document(spark, tmp_path):
+    """An item that a document holds is answered, whatever its words are; one of which no document has a third is not."""
+    from lexweave.plans.retrieval import abstain_searched
+
+    items = [(1, "Red kiln, red boiler."), (2, "one two three four"), (3, None), (4, "alpha beta gamma")]
+    docs = [(1, "the boiler and the red kiln"), (2, "one"), (3, "four"), (4, None), (5, ""), (6, "beta")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.item_id: r.abstains for r in abstain_searched(spark, str(tmp_path)).collect()} == {1: False, 2: True, 3: True, 4: True}
