@@ -176,7 +176,15 @@ def run_containment(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(items, "run").select("doc_id", "item_id")
 
 
-NAMES = "lex_bm25_top lex_bm25_filtered lex_fielded vec_top vec_filtered rrf_fused rrf_signals collapse_best pinned_list abstain abstain_searched best_line seed_budget grep_lines grep_word grep_multi grep_counts grep_context grep_files grep_bounded gram_candidates gram_pairs id_tokens slugs citation_tokens cited_sections token_jaccard levenshtein_sim run_containment"
+def run_containment_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold all words of an evaluation item in a row."""
+    run = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+    items = table(spark, d, "eval_items").select("item_id", T.tokens("text").alias("t")).where(F.size("t") > 0).select("item_id", run("t").alias("run")).distinct()
+    docs = _docs(spark, d).select("doc_id", T.tokens("text").alias("t")).where(F.size("t") > 0).select("doc_id", run("t").alias("words"))
+    return docs.join(F.broadcast(items), F.contains(F.col("words"), F.col("run"))).select("doc_id", "item_id")
+
+
+NAMES = "lex_bm25_top lex_bm25_filtered lex_fielded vec_top vec_filtered rrf_fused rrf_signals collapse_best pinned_list abstain abstain_searched best_line seed_budget grep_lines grep_word grep_multi grep_counts grep_context grep_files grep_bounded gram_candidates gram_pairs id_tokens slugs citation_tokens cited_sections token_jaccard levenshtein_sim run_containment run_containment_whole"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _TOK = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"

@@ -88,3 +88,15 @@ def test_abstention_searches_every_document(spark, tmp_path):
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.item_id: r.abstains for r in abstain_searched(spark, str(tmp_path)).collect()} == {1: False, 2: True, 3: True, 4: True}
+
+
+def test_whole_items_in_documents(spark, tmp_path):
+    """All words of an item must stand in a row, not its first eight alone."""
+    from lexweave.plans.retrieval import run_containment_whole
+
+    long = " ".join(f"w{i}" for i in range(50))
+    items = [(1, long), (2, "Three short words."), (3, None), (4, "...")]
+    docs = [(1, f"before {long.upper()}, after"), (2, " ".join(long.split()[:40])), (3, " ".join(long.split()[8:])), (4, "has three SHORT words"), (5, "three short wordsmiths"), (6, None)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in run_containment_whole(spark, str(tmp_path)).collect()} == {(1, 1), (4, 2)}
