@@ -1,13 +1,14 @@
-"""Problem 1: a change feed applied as keyed streaming state.
+"""Problem 1: a change feed applied as keyed streaming state of its actions, and their paragraphs.
 
-Two keyed states, both order-free (accepting a change twice, late or out of order gives the same state):
+Two keyed aggregates, both order-free (accepting a change twice, late or out of order gives the same result):
 
 * per *action*: payload, last sequence ``(revision, received_at, feed_pos)``; only a newer sequence replaces
   it. This is a streaming aggregation in Spark's state store, partially aggregated before its shuffle, and its
   upserts go to an output directory per micro-batch (rewriting a batch overwrites its own directory).
 * per *paragraph*: payload, sequence of the last payload, of the last ``add`` and of the last removal (the
   tombstone). A paragraph exists if its last ``add`` is newer than its tombstone, so three maxima are enough and
-  a hot work is split over its paragraphs, pre-aggregated before the shuffle.
+  a hot work is split over its paragraphs, pre-aggregated before the shuffle. This one is a batch aggregation over
+  all actions at each call: it is neither kept in streaming state nor published as upserts.
 
 A redesignation ties two paragraphs together. The timeline of each paragraph so touched is cut at its
 redesignations; what lies between two cuts is pre-aggregated to at most one effect (set, clear, amend-if-there),
