@@ -73,6 +73,51 @@ def cosine_to(vectors: DataFrame, query: DataFrame, key: str, vector: str) -> Da
     return vectors.crossJoin(F.broadcast(q)).select(key, F.round(value, 6).alias("cosine"))
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
+    """(query_id, key, cosine, rank): for every query row its k best vectors in the order of ``top``; zero vectors have no
+    cosine and come last. Queries are compared a block at a time; each task keeps k rows of a query."""
+    import numpy as np
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    of = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    def best(shared):
+        def run(batches):
+            ids, q = shared.value
+            q = q / np.where((n := np.sqrt((q * q).sum(1, keepdims=True))) == 0, np.nan, n)
+            held = [np.empty((0, 3))] * len(ids)
+            for batch in batches:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                v = np.array(batch.column(1).to_pylist(), float)
+                cos = np.round(q @ (v / np.where((n := np.sqrt((v * v).sum(1, keepdims=True))) == 0, np.nan, n)).T, 6)
+                for i, c in enumerate(cos):
+                    order = np.lexsort((keys, -np.round(c * 1000)))[:k]  # nan sorts last
+                    held[i] = np.concatenate([held[i], np.stack([keys[order], c[order], np.full(len(order), ids[i])], 1)])
+                    held[i] = held[i][np.lexsort((held[i][:, 0], -np.round(held[i][:, 1] * 1000)))[:k]]
+            rows = np.concatenate(held)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[:, 2].astype(np.int64)), pa.array(rows[:, 0].astype(np.int64)), pa.array(rows[:, 1], from_pandas=True)], names=["query_id", key, "cosine"]
+            )
+
+        return of(vectors).mapInArrow(run, f"query_id bigint, {key} bigint, cosine double")
+
+    out, ids, held = None, [], []
+    rows = of(queries).toLocalIterator()
+    while True:
+        r = next(rows, None)
+        if r is not None:
+            ids.append(r.id)
+            held.append(r.v)
+        if len(ids) == block or (r is None and (ids or out is None)):
+            part = best(spark.sparkContext.broadcast((ids, np.array(held, float).reshape(len(ids), -1)))) if ids else spark.createDataFrame([], f"query_id bigint, {key} bigint, cosine double")
+            out, ids, held = part if out is None else out.unionByName(part), [], []
+        if r is None:
+            break
+    w = Window.partitionBy("query_id").orderBy(F.round(F.col("cosine") * 1000).desc_nulls_last(), F.col(key))
+    return out.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+
+
 def rrf(lexical: DataFrame, vector: DataFrame, key: str, w1: float = 1.0, w2: float = 1.0, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (key, rank): 1.0 for rank 1 in both, also if one list is empty.
 

@@ -42,6 +42,17 @@ def vec_filtered(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top(near, "vec_id", 20, "cosine").select("vec_id", "cosine")
 
 
+def vec_top_all(spark: SparkSession, d: str) -> DataFrame:
+    """``vec_top`` for every query row: those whose id is divisible by 50."""
+    v = table(spark, d, "embeddings")
+    return ranking.nearest(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding", 100)
+
+
+def vec_filtered_all(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings")
+    return ranking.nearest(v.where("label = 3"), v.where("vec_id % 50 = 0"), "vec_id", "embedding", 20)
+
+
 def _legs(spark, d):
     v = table(spark, d, "embeddings")
     lex = ranking.top(ranking.bm25(_docs(spark, d), Q, "doc_id", {"text": 1.0}), "doc_id", 100)
@@ -184,7 +195,7 @@ def run_containment_whole(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(F.broadcast(items), F.contains(F.col("words"), F.col("run"))).select("doc_id", "item_id")
 
 
-NAMES = "lex_bm25_top lex_bm25_filtered lex_fielded vec_top vec_filtered rrf_fused rrf_signals collapse_best pinned_list abstain abstain_searched best_line seed_budget grep_lines grep_word grep_multi grep_counts grep_context grep_files grep_bounded gram_candidates gram_pairs id_tokens slugs citation_tokens cited_sections token_jaccard levenshtein_sim run_containment run_containment_whole"
+NAMES = "lex_bm25_top lex_bm25_filtered lex_fielded vec_top vec_filtered vec_top_all vec_filtered_all rrf_fused rrf_signals collapse_best pinned_list abstain abstain_searched best_line seed_budget grep_lines grep_word grep_multi grep_counts grep_context grep_files grep_bounded gram_candidates gram_pairs id_tokens slugs citation_tokens cited_sections token_jaccard levenshtein_sim run_containment run_containment_whole"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _TOK = "list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"

@@ -100,3 +100,17 @@ def test_whole_items_in_documents(spark, tmp_path):
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in run_containment_whole(spark, str(tmp_path)).collect()} == {(1, 1), (4, 2)}
+
+
+def test_nearest_of_every_query_row(spark):
+    """Every query row, over several blocks, as ``cosine_to`` and ``top`` give them for one."""
+    from lexweave.operators import ranking
+
+    rnd = random.Random(3)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(6)]) for i in range(300)] + [(300, [0.0] * 6), (301, rnd.choices([0.5], k=6))]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    got = ranking.nearest(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding", 9, block=2).collect()
+    assert {r.query_id for r in got} == {0, 50, 100, 150, 200, 250, 300} and len(got) == 63
+    for q in (0, 150):
+        want = ranking.top(ranking.cosine_to(v, v.where(f"vec_id = {q}"), "vec_id", "embedding"), "vec_id", 9, "cosine").collect()
+        assert [(r.vec_id, r.cosine) for r in want] == [(r.vec_id, r.cosine) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
