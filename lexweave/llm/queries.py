@@ -55,7 +55,11 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.rates(p10_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p7_found, p7_paragraphs, p8_ids, p9_found, p9_scores, p9_items, p10_found, p10_scores, p10_rates)}
+def p10_quality(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p7_found, p7_paragraphs, p8_ids, p9_found, p9_scores, p9_items, p10_found, p10_scores, p10_rates, p10_quality)}
 
 #: Unicode White_Space for RE2.
 _SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"

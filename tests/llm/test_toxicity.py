@@ -40,7 +40,7 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "some words")], "doc_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, toxic int, rater string")
     r = tx.scored(docs, labels).first()
-    assert not r.flagged and r.source is None
+    assert r.flagged is None and r.toxic is None and r.source is None
     assert tx.scored(docs.limit(0), labels).count() == 0
 
 
@@ -51,6 +51,38 @@ def test_disguises():
     assert "xstarx" in tx.split_words("you f*****g x") and "xstarx" not in tx.split_words("*as* stated **here**")
 
 
-def test_long_text():
-    m = tx.train([], np.array([]))
-    assert m.score([np.arange(200_000, dtype=np.int64)]).shape == (1, len(tx.CATEGORIES))
+def test_long_text_and_too_few_marks():
+    rows = make(60, 3)
+    texts = tx.hashes_of([t for _, t, _ in rows], tx.Hashes())
+    marks, counts = np.array([float(b) for _, _, b in rows]), tx.document_counts(texts)
+    m = tx.train(texts, marks, counts)
+    assert m.score([np.arange(200_000, dtype=np.int32)]).shape == (1, len(tx.CATEGORIES))
+    assert tx.train([], np.array([]), counts) is None
+    few = np.flatnonzero(marks > 0)[4:]
+    marks[few] = 0.5
+    assert tx.train(texts, marks, counts) is None
+
+
+def test_document_counts():
+    texts = [np.array(x, np.int32) for x in ([5, 6, -1, 5], [5, -1, 6], [])]
+    counts = tx.document_counts(texts)
+    word, pair, skip = tx.features(np.array([5, 6, -1], np.int32))
+    assert counts[word[0]] == counts[word[1]] == 2 and counts[pair[0]] == 1 and counts[tx.SIZE] == 3
+
+
+def test_few_marks_still_find(spark):
+    """With 13 marked documents the sentences nobody else writes are found, whatever their words."""
+    rows = make(700, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    marked = [i for i, _, b in rows if b][:13]
+    labels = [(i, 1, "r") for i in marked] + [(i, 0, "r") for i, _, b in rows if not b][:76]
+    got = {r.doc_id for r in tx.scored(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int, rater string")).where("flagged").collect()}
+    true = {i for i, _, b in rows if b}
+    assert len(got & true) >= 0.9 * len(true) and len(got - true) <= 0.1 * len(true)
+
+
+def test_quality(spark):
+    rows = make(300, 7)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    q = {r.category: r for r in tx.quality(docs, spark.createDataFrame([(i, int(b), "r") for i, _, b in rows], "doc_id bigint, toxic int, rater string")).collect()}
+    assert q["toxic"].recall > 0.9 and q["documents"].precision > 0.9
