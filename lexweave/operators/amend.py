@@ -1,4 +1,4 @@
-"""Amending instructions: reading them, and applying actions to texts."""
+"""Applying amending actions to texts, and reading the instructions that order them."""
 
 from __future__ import annotations
 
@@ -9,118 +9,217 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions import anchors, names
+from lexweave.functions import anchors, instructions
+from lexweave.functions.names import c
 from lexweave.session import ship
 
-#: A verb that opens an instruction, or follows "by", decides; the verb named last in this list is the weakest.
-VERBS = ("redesignat", "remov|delet", "^add", "stay|suspend", "revis|amend|correct|republish")
+READ_SCHEMA = "kind string, section string, paragraphs array<string>, edits array<struct<old:string,new:string,everywhere:boolean>>, moves array<struct<source:string,target:string>>"
 
 
-def instruction_kind(x: str | Column) -> Column:
-    """add, amend, remove, redesignate or stay, from the opening verb, else the verb after "by", else any verb."""
-    s = F.regexp_replace(names.c(x), r"^\s*[0-9]+[a-z]?\.\s*", "")
-    first = F.lower(F.regexp_extract(s, r"(?i)^(?:(?:section|§+)\s*[0-9.]+\s+is\s+)?(\w+)", 1))
-    by = F.lower(F.regexp_extract(s, r"(?i)\bby\s+(\w+)", 1))
-    low = F.lower(s)
-    kinds = ("redesignate", "remove", "add", "stay", "amend")
-    out = F.when(names.c(x).isNull(), F.lit(None).cast("string"))
-    for word, upto in ((first, 4), (by, 5), (low, 5)):
-        for verb, kind in list(zip(VERBS, kinds))[:upto]:
-            out = out.when(word.rlike(verb), kind)
-    return out.otherwise("amend")
+def reading(x: str | Column) -> Column:
+    """(kind, section, paragraphs, edits, moves) of an instruction, by Arrow batches; all null or empty for null."""
 
+    @F.pandas_udf(READ_SCHEMA)
+    def read(texts: pd.Series) -> pd.DataFrame:
+        found = [instructions.read(None if t is None or t != t else t) for t in texts]
+        return pd.DataFrame(
+            {
+                "kind": [f.kind for f in found],
+                "section": [f.section for f in found],
+                "paragraphs": [f.paragraphs for f in found],
+                "edits": [[{"old": a, "new": b, "everywhere": e} for a, b, e in f.edits] for f in found],
+                "moves": [[{"source": a, "target": b} for a, b in f.moves] for f in found],
+            }
+        )
 
-def designators(x: str | Column) -> Column:
-    """Anchors of the paragraphs an instruction names, in order, each once."""
-    runs = F.regexp_extract_all(names.c(x), F.lit(r"(?i)paragraphs?\s+((?:\([a-z0-9]{1,4}\))+(?:(?:\s*(?:,|and|through|to)\s*)+(?:paragraphs?\s+)?(?:\([a-z0-9]{1,4}\))+)*)"), 1)
-    each = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(r"(?i)(?:\([a-z0-9]{1,4}\))+"), 0)))
-    return F.array_distinct(F.transform(each, lambda d: F.regexp_replace(F.regexp_replace(d, r"\)\(", "-"), r"[()]", "")))
-
-
-def section_named(x: str | Column) -> Column:
-    return F.nullif(F.regexp_extract(names.c(x), r"(?i)(?:§+|section|sec\.)\s*([0-9]+\.[0-9]+[a-z]?(?:-[0-9]+)?)", 1), F.lit(""))
-
-
-def word_edit(x: str | Column) -> Column:
-    """(old, new) of ``removing "x" and adding "y"`` or ``the words "x" are replaced by "y"``; null if there is none."""
-    pattern = r'(?i)(?:remov\w*|words?|phrase)\s+(?:the (?:words?|phrase)\s+)?["“]([^"”]+)["”]\s*(?:and\s+(?:add\w*|insert\w*)(?:\s+in (?:its|their) place)?|(?:is|are)\s+replaced\s+(?:by|with))\s*(?:the (?:words?|phrase)\s+)?["“]([^"”]+)["”]'
-    old = F.regexp_extract(names.c(x), pattern, 1)
-    return F.when(old != "", F.struct(old.alias("old"), F.regexp_extract(names.c(x), pattern, 2).alias("new")))
-
-
-_EDIT = re.compile(r'(?:remov\w*|words?|phrase)\s+(?:the (?:words?|phrase)\s+)?["“]([^"”]+)["”].*?["“]([^"”]+)["”]', re.I | re.S)
+    return read(c(x))
 
 
 def _label(anchor: str) -> str:
-    return "".join(f"({p})" for p in anchor.split("-")[-1:])
-
-
-def apply_one(body: str, kind: str, anchor: str, text: str) -> tuple[str, bool]:
-    """(new body, done): one action on one text. An action whose paragraph is not there, or whose words are not found, is
-    not done and leaves the text as it is."""
-    lines, found = body.splitlines(), anchors.paragraph_anchors(body)
-    place = next(((i, n) for i, (a, n) in enumerate(found) if a == anchor), None)
-    if kind == "stay":
-        return body, True
-    if not anchor:
-        return ("", True) if kind == "remove" else (text, bool(text)) if kind in ("add", "amend") else (body, False)
-    if kind == "add" and place is None:
-        # after the last paragraph that sorts before it under the same parent, else at the end
-        up = anchor.rpartition("-")[0]
-        mates = [n for a, n in found if a == up or (up and a.startswith(up + "-")) or (not up and "-" not in a)]
-        at = len(lines)
-        if mates:
-            at = next((n - 1 for a, n in found if n > max(mates) and not (up and a.startswith(up + "-"))), len(lines))
-        return "\n".join([*lines[:at], f"{_label(anchor)} {text}", *lines[at:]]), True
-    if place is None:
-        return body, False
-    i, n = place
-    end = next((m for a, m in found[i + 1 :] if not a.startswith(anchor + "-") and m > n), len(lines) + 1)
-    if kind == "remove":
-        return "\n".join(lines[: n - 1] + lines[end - 1 :]), True
-    if kind == "redesignate":
-        return "\n".join([*lines[: n - 1], lines[n - 1].replace(_label(anchor), _label(names_anchor(text)), 1), *lines[n:]]), True
-    edit = _EDIT.search(text or "")
-    if edit:
-        part = "\n".join(lines[n - 1 : end - 1])
-        if edit.group(1) not in part:
-            return body, False
-        return "\n".join([*lines[: n - 1], *part.replace(edit.group(1), edit.group(2)).split("\n"), *lines[end - 1 :]]), True
-    return "\n".join([*lines[: n - 1], f"{_label(anchor)} {text}", *lines[end - 1 :]]), True
-
-
-def names_anchor(x: str) -> str:
-    return re.sub(r"[()]+", "-", re.sub(r"\s|^#", "", x or "")).strip("-")
+    return f"({anchor.rpartition('-')[2]})"
+
+
+class Paragraph:
+    """A labelled paragraph: its own lines and those below it, by label. The first line carries the label."""
+
+    __slots__ = ("lines", "kids")
+
+    def __init__(self, lines: list[str]):
+        self.lines, self.kids = lines, {}
+
+    def rendered(self) -> list[str]:
+        out, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            out += node.lines
+            stack += reversed(node.kids.values())
+        return out
+
+
+def parsed(text: str) -> Paragraph:
+    """The paragraphs of a text as a tree under a root that holds what comes before the first label. A label that comes twice
+    at one place is kept, under a key no anchor has."""
+    lines, found = text.splitlines(), anchors.paragraph_anchors(text)
+    starts: dict[int, list[str]] = {}
+    for anchor, n in found:
+        starts.setdefault(n - 1, []).append(anchor)
+    at = sorted(starts)
+    root = Paragraph(lines[: at[0]] if at else lines)
+    for i, n in enumerate(at):
+        node = None
+        for anchor in starts[n]:
+            *above, label = anchor.split("-")
+            up = root
+            for x in above:
+                up = up.kids.setdefault(x, Paragraph([]))
+            while label in up.kids and (up.kids[label].lines or up.kids[label].kids):
+                label += "\0"
+            node = up.kids[label] = Paragraph([])
+        node.lines = lines[n : at[i + 1] if i + 1 < len(at) else len(lines)]
+    return root
+
+
+class Text:
+    """A text under amendment, parsed once; an action costs what it touches, not the whole text."""
+
+    def __init__(self, body: str):
+        self.root = parsed(body)
+
+    def body(self) -> str:
+        return "\n".join(self.root.rendered())
+
+    def _at(self, anchor: str, make: bool = False) -> tuple[Paragraph | None, str]:
+        """(the node above an anchor, its label); with ``make`` missing ones are made, without lines."""
+        *above, label = anchor.split("-")
+        node = self.root
+        for x in above:
+            if x not in node.kids:
+                if not make:
+                    return None, label
+                node.kids[x] = Paragraph([])
+            node = node.kids[x]
+        return node, label
+
+    @staticmethod
+    def _made(anchor: str, text: str) -> Paragraph:
+        """The paragraph an action's text gives; a text that brings its own labels brings its sub-paragraphs too."""
+        own = parsed(text)
+        label = anchor.rpartition("-")[2]
+        if not own.lines and label in own.kids and len(own.kids) == 1:
+            return own.kids[label]
+        return Paragraph(f"{_label(anchor)} {text}".split("\n"))
+
+    def apply(self, kind: str, anchor: str, text: str, instruction: str = "") -> bool:
+        """Whether the action was done. An action whose paragraph is not there, whose words are not found, or whose text leaves
+        something out (asterisks) is not done and changes nothing."""
+        order = instructions.read(instruction) if instruction else None
+        if kind == "stay":
+            return True
+        if not anchor:
+            return self._whole(kind, text)
+        up, label = self._at(anchor)
+        there = up is not None and label in up.kids
+        if kind == "remove" and there:
+            if order and order.reserve:
+                up.kids[label] = Paragraph([f"{_label(anchor)} [Reserved]"])
+            elif order and order.edits:
+                return self._edited(up.kids[label], order.edits)
+            else:
+                del up.kids[label]
+            return True
+        if kind == "redesignate" and there:
+            return self._moved(up, label, anchor, named_anchor(text))
+        if kind not in ("add", "amend") or (kind == "amend" and not there) or not text or "* * *" in text:
+            return False
+        if there:
+            edits = instructions.read(text).edits or (order.edits if order else [])
+            if edits:
+                return self._edited(up.kids[label], edits)
+            made = self._made(anchor, text)
+            if order and order.introductory:
+                made.kids = up.kids[label].kids
+            up.kids[label] = made
+        else:
+            up, label = self._at(anchor, make=True)
+            up.kids[label] = self._made(anchor, text)
+        return True
+
+    def _whole(self, kind: str, text: str) -> bool:
+        if kind == "remove":
+            self.root = Paragraph([])
+        elif kind in ("add", "amend") and text:
+            self.root = parsed(text)
+        else:
+            return False
+        return True
+
+    def _moved(self, up: Paragraph, label: str, anchor: str, target: str) -> bool:
+        if not target:
+            return False
+        node = up.kids.pop(label)
+        if node.lines:
+            node.lines = [node.lines[0].replace(_label(anchor), _label(target), 1), *node.lines[1:]]
+        into, new = self._at(target, make=True)
+        into.kids[new] = node
+        return True
+
+    @staticmethod
+    def _edited(node: Paragraph, edits: list[tuple[str, str, bool]]) -> bool:
+        lines = "\n".join(node.rendered())
+        for old, new, everywhere in edits:
+            if old not in lines:
+                return False
+            lines = lines.replace(old, new) if everywhere else lines.replace(old, new, 1)
+        changed = parsed(lines)
+        first = next(iter(changed.kids.values()), None)
+        if first is not None and len(changed.kids) == 1 and not changed.lines:
+            node.lines, node.kids = first.lines, first.kids
+        else:
+            node.lines, node.kids = lines.split("\n"), {}
+        return True
+
+
+def apply_one(body: str, kind: str, anchor: str, text: str, instruction: str = "") -> tuple[str, bool]:
+    """(new body, done): one action on one text."""
+    t = Text(body)
+    done = t.apply(kind, anchor, text, instruction)
+    return t.body() if done else body, done
+
+
+def named_anchor(x: str | None) -> str:
+    """``(b)(2)``, ``#b-2`` and ``b-2`` as ``b-2``."""
+    bare = (x or "").strip().removeprefix("#")
+    return "-".join(p for p in re.split(r"[()\s-]+", bare) if p)
 
 
 def composed(texts: DataFrame, actions: DataFrame) -> DataFrame:
     """(work, body, applied, failed): each text after its actions in order; works without actions keep theirs.
 
     ``texts`` (work, body); ``actions`` (work, kind, anchor, text, seq). Rows of both are merged by the shuffle's sort, the
-    text first; one text at a time is in memory.
+    text first; one text at a time is in memory, parsed once, so a work with very many actions streams through.
     """
     ship(texts.sparkSession)
     a = actions.select("work", "kind", "anchor", "text", F.col("seq").cast("bigint").alias("seq"), F.lit(1).alias("side"))
     t = texts.select("work", F.lit("").alias("kind"), F.lit("").alias("anchor"), F.col("body").alias("text"), F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("side"))
+    columns = ["work", "body", "applied", "failed"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        work, body, done, failed = None, None, 0, 0
-        columns = ["work", "body", "applied", "failed"]
+        work, now, done, failed = None, None, 0, 0
         for pdf in batches:
             out = []
             for w, kind, anchor, text, side in zip(pdf["work"], pdf["kind"], pdf["anchor"], pdf["text"], pdf["side"]):
                 if w != work:
-                    if body is not None:
-                        out.append((work, body, done, failed))
-                    work, body, done, failed = w, None, 0, 0
+                    if now is not None:
+                        out.append((work, now.body(), done, failed))
+                    work, now, done, failed = w, None, 0, 0
                 if side == 0:
-                    body = text or ""
-                elif body is not None:
-                    body, ok = apply_one(body, kind, anchor or "", text or "")
+                    now = Text(text or "")
+                elif now is not None:
+                    ok = now.apply(kind, anchor or "", text or "")
                     done, failed = done + ok, failed + (not ok)
             yield pd.DataFrame(out, columns=columns)
-        if body is not None:
-            yield pd.DataFrame([(work, body, done, failed)], columns=columns)
+        if now is not None:
+            yield pd.DataFrame([(work, now.body(), done, failed)], columns=columns)
 
     rows = t.unionByName(a).where("work IS NOT NULL").repartition("work").sortWithinPartitions("work", "side", "seq")
     return rows.mapInPandas(run, "work string, body string, applied int, failed int")

@@ -80,11 +80,9 @@ def overlay_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def instruction_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """Actions read as sentences: verb, paragraph and section they name."""
-    a = table(spark, d, "actions")
-    s = F.concat(F.initcap(F.trim("kind")), F.lit(" paragraph ("), names.plain_anchor("target_anchor"), F.lit(") of § "), F.regexp_extract("target_id", r"-(\d+\.\d+)", 1))
-    rows = a.select(F.when(F.lower(F.trim("kind")).isin("add", "added"), F.regexp_replace(s, "^Added", "Add")).otherwise(s).alias("s"))
-    return rows.groupBy(amend.instruction_kind("s").alias("kind"), F.coalesce(amend.section_named("s"), F.lit("")).alias("section")).agg(F.count("*").alias("n"))
+    """What the reader of instructions makes of every verb in the feed, and how often it comes."""
+    verbs = table(spark, d, "actions").where("kind IS NOT NULL").groupBy(F.trim("kind").alias("verb")).agg(F.count("*").alias("n"))
+    return verbs.select("verb", amend.reading("verb")["kind"].alias("kind"), "n")
 
 
 def amended_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +119,8 @@ SQL = {
     "top_anchors": rf"WITH {_DELIVERED}, l AS (SELECT regexp_extract(unnest(regexp_split_to_array(body, '\r\n|\n|\r')), '^\(([A-Za-z0-9]{{1,5}})\) ', 1) AS label FROM delivered WHERE body IS NOT NULL) SELECT label, count(*) AS n FROM l WHERE label <> '' GROUP BY 1",
     "stripped_bodies": rf"WITH {_DELIVERED} SELECT {_ME} AS expr, length(trim(regexp_replace(regexp_replace(regexp_replace(body, '\[([^\]]*)\]\(([^)]*)\)', '\1', 'g'), '(?m)^#+\s*|[*_`>|]', '', 'g'), '\s+', ' ', 'g'))) AS n, len(list_filter(regexp_split_to_array(body, '\s+'), lambda t: t <> '')) AS words FROM delivered WHERE body IS NOT NULL",
     "vocabulary": rf"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS term FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term <> '' AND strlen(term) <= 40 AND term NOT IN ({_STOP}) GROUP BY 1, 2) SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS uses FROM c GROUP BY 1",
+    "instruction_kinds": r"""SELECT trim(kind) AS verb, CASE WHEN regexp_matches(lower(trim(kind)), '^(add|adds|added|adding|insert.*)$') THEN 'add' WHEN regexp_matches(lower(trim(kind)), '^(remov|delet)') THEN 'remove'
+WHEN regexp_matches(lower(trim(kind)), '^redesignat') THEN 'redesignate' WHEN regexp_matches(lower(trim(kind)), '^(stay|suspend)') THEN 'stay' ELSE 'amend' END AS kind, count(*) AS n FROM actions WHERE kind IS NOT NULL GROUP BY 1, 2""",
     "running_lines": f"WITH {_PLACED}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_sha, page ORDER BY seq) AS t, row_number() OVER (PARTITION BY doc_sha, page ORDER BY seq DESC) AS b FROM placed) SELECT doc_sha, trim(regexp_replace(lower(text), '[0-9]+', '#', 'g')) AS masked, count(DISTINCT page) AS pages FROM n WHERE t <= 2 OR b <= 2 GROUP BY 1, 2 HAVING count(DISTINCT page) >= 2",
     "overlay_items": f"WITH {_PLACED}, i AS (SELECT *, sum(CASE WHEN regexp_matches(text, '^§ [0-9]+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_sha ORDER BY seq ROWS UNBOUNDED PRECEDING) AS item FROM placed) SELECT doc_sha, CAST(item AS BIGINT) AS item, min(seq) AS first_seq, count(*) AS lines FROM i GROUP BY 1, 2",
 }

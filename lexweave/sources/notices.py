@@ -2,63 +2,40 @@
 
 from __future__ import annotations
 
-import re
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexweave.functions import anchors
+from lexweave.functions import anchors, instructions
 from lexweave.sources.formats import _element, _local, squash
 
-_KINDS = (("redesignat", "redesignate"), ("remov|delet", "remove"), ("^add", "add"), ("stay|suspend", "stay"))
-
-
-def _kind(s: str) -> str:
-    s = re.sub(r"^\s*\d+[a-z]?\.\s*", "", s).lower()
-    first = re.match(r"(?:(?:section|§+)\s*[\d.]+\s+is\s+)?(\w+)", s)
-    by = re.search(r"\bby\s+(\w+)", s)
-    for word in (first, by):
-        for pattern, kind in _KINDS:
-            if word and re.search(pattern, word.group(1)):
-                return kind
-    return "amend"
-
-
 def notice_actions(data: bytes | str, notice: str, prefix: str) -> list[dict]:
     """Actions of a rule: each instruction (AMDPAR) with the section and paragraphs it names and the quoted text after it.
 
     An instruction that names several paragraphs gives one action each; quoted paragraphs go to the one whose anchor they
     carry, a text without labels to all.
     """
-    out: list[dict] = []
-    instruction, quoted = None, []
-
-    def close() -> None:
-        if instruction is None:
-            return
-        section = re.search(r"(?:§+|section|sec\.)\s*(\d+)\.(\d+[a-z]?(?:-\d+)?)", instruction, re.I)
-        named = re.findall(r"paragraphs?\s+((?:\([a-z0-9]{1,4}\))+(?:(?:\s*(?:,|and)\s*)+(?:\([a-z0-9]{1,4}\))+)*)", instruction, re.I)
-        marks = list(dict.fromkeys("-".join(re.findall(r"\(([^)]+)\)", x)) for run in named for x in re.findall(r"(?:\([a-z0-9]{1,4}\))+", run, re.I))) or [""]
-        text = "\n".join(quoted)
-        parts = anchors.quoted_paragraphs(text)
-        for mark in marks:
-            last = mark.split("-")[-1]
-            out.append({
-                "action_id": f"{notice}#instr-{len(out) + 1}", "notice": notice, "kind": _kind(instruction),
-                "target_id": f"{prefix}:{section.group(1)}-{section.group(1)}.{section.group(2)}" if section else None,
-                "target_anchor": mark or None, "text": parts.get(mark) or parts.get(last) or (text or None),
-            })
-
+    orders: list[tuple[str, list[str]]] = []
     for node in ET.fromstring(data).iter():
         tag = _local(node.tag).upper()
         if tag == "AMDPAR":
-            close()
-            instruction, quoted = squash("".join(node.itertext())), []
-        elif tag in ("P", "SECTNO", "SUBJECT") and instruction is not None:
-            if tag == "P":
-                quoted.append(squash("".join(node.itertext())))
-    close()
+            orders.append((squash("".join(node.itertext())), []))
+        elif tag == "P" and orders:
+            orders[-1][1].append(squash("".join(node.itertext())))
+    out: list[dict] = []
+    for sentence, quoted in orders:
+        order, text = instructions.read(sentence), "\n".join(quoted)
+        parts = anchors.quoted_paragraphs(text)
+        title = order.section.partition(".")[0] if order.section else None
+        for mark in order.paragraphs or [None]:
+            own = next((parts[x] for x in (mark, (mark or "").rpartition("-")[2]) if parts.get(x)), text or None)
+            out.append(
+                {
+                    "action_id": f"{notice}#instr-{len(out) + 1}", "notice": notice, "kind": order.kind, "instruction": sentence,
+                    "target_id": f"{prefix}:{title}-{order.section}" if title else None, "target_anchor": mark, "text": own,
+                }
+            )
     return out
 
 

@@ -2,10 +2,11 @@
 
 import random
 import re
+import time
 
 import pytest
 
-from lexweave.functions import anchors
+from lexweave.functions import anchors, instructions
 from lexweave.functions import text as T
 from lexweave.operators import amend, fuzzy, layout, passages
 
@@ -92,19 +93,51 @@ def test_two_readings():
 
 def test_instructions(spark):
     rows = [
-        ("1. Add § 4.5 to read as follows:", "add", [], "4.5", None),
-        ("Amend § 4.6 by revising paragraphs (a)(1) and (b) to read", "amend", ["a-1", "b"], "4.6", None),
-        ("Section 2.1 is redesignated as § 2.2", "redesignate", [], "2.1", None),
-        ('In § 3.4, paragraph (c), remove the word "old" and add "new" in its place.', "remove", ["c"], "3.4", ("old", "new")),
-        ("Remove § 9.9", "remove", [], "9.9", None),
-        (None, None, None, None, None),
+        ("1. Add § 4.5 to read as follows:", "add", [], "4.5", []),
+        ("Amend § 4.6 by revising paragraphs (a)(1) and (b) to read", "amend", ["a-1", "b"], "4.6", []),
+        ("2. Amend § 1910.1200 by revising paragraphs (j)(2)(i) and (ii) and (j)(3)(i) and (ii) to read as follows:", "amend", ["j-2-i", "ii", "j-3-i"], "1910.1200", []),
+        ("Section 2.1 is redesignated as § 2.2", "redesignate", [], "2.1", []),
+        ('In § 3.4, paragraph (c), remove the word "old" and add "new" in its place.', "remove", ["c"], "3.4", [("old", "new", False)]),
+        ("removing the word “he” wherever it appears and adding “they”", "remove", [], None, [("he", "they", True)]),
+        ('the words "old" are replaced by "new"', "amend", [], None, [("old", "new", False)]),
+        ("7. Section 1910.1000 is amended by removing paragraph (c).", "remove", ["c"], "1910.1000", []),
+        ("1. The authority citation for subpart Z of 29 CFR part 1910 is revised", "amend", [], None, []),
+        ("Stay the effect of § 7.1 until the address is known", "stay", [], "7.1", []),
+        ("Remove § 9.9", "remove", [], "9.9", []),
+        ("", "amend", [], None, []),
+        (None, None, [], None, []),
     ]
-    df = spark.createDataFrame([(r[0],) for r in rows], "x string")
-    got = df.select(amend.instruction_kind("x"), amend.designators("x"), amend.section_named("x"), amend.word_edit("x")).collect()
-    for (text, kind, marks, section, edit), r in zip(rows, got):
-        assert r[1] == marks and r[2] == section and (tuple(r[3]) if r[3] else None) == edit, text
-        if text and "old" not in text:
-            assert r[0] == kind
+    got = spark.createDataFrame([(r[0],) for r in rows], "x string").select(amend.reading("x").alias("r")).collect()
+    for (text, kind, marks, section, edits), (r,) in zip(rows, got):
+        assert (r.kind, r.paragraphs, r.section, [tuple(e) for e in r.edits]) == (kind, marks, section, edits), text
+    assert instructions.read("6. Redesignate paragraphs (d) through (f) as paragraphs (e) through (g).").moves == [("d", "e"), ("e", "f"), ("f", "g")]
+    assert instructions.read("Redesignate paragraph (c) as paragraph (d); and adding a new paragraph (c).").moves == [("c", "d")]
+    assert instructions.read("Remove and reserve paragraph (b).").reserve and instructions.read("Revising paragraph (b) introductory text.").introductory
+
+
+def test_actions_on_a_tree_of_paragraphs():
+    body = "# § 1.1 Rules\n(a) First.\n(b) Second, with a cage or well.\n(1) Nested one.\n(2) Nested two.\n(c) Third."
+    one = lambda *a: amend.apply_one(body, *a)[0]
+    assert one("amend", "b", "(b) New second.\n(1) New nested.") == "# § 1.1 Rules\n(a) First.\n(b) New second.\n(1) New nested.\n(c) Third."
+    assert one("amend", "b", "(b) Second, revised.", "Revising paragraph (b) introductory text.").splitlines()[2:5] == ["(b) Second, revised.", "(1) Nested one.", "(2) Nested two."]
+    assert "(b) Second, with a ladder." in one("remove", "b", "", "by removing the words “cage or well” in paragraph (b) and adding in their place the word “ladder”.")
+    assert amend.apply_one(body, "remove", "a", "", "removing the words “not here” and adding “x”") == (body, False)
+    assert one("remove", "b", "", "Remove and reserve paragraph (b).") == "# § 1.1 Rules\n(a) First.\n(b) [Reserved]\n(c) Third."
+    assert one("remove", "b", "", "Remove paragraph (b).") == "# § 1.1 Rules\n(a) First.\n(c) Third."
+    assert one("add", "d", "(d) Fourth.").endswith("(c) Third.\n(d) Fourth.")
+    assert "(2) Nested two.\n(3) Nested three.\n(c) Third." in one("add", "b-3", "Nested three.")
+    assert one("redesignate", "c", "(d)").endswith("(d) Third.")
+    assert amend.apply_one(body, "amend", "z", "(z) Nowhere.") == (body, False) and amend.apply_one(body, "amend", "b", "(b) * * * in part.") == (body, False)
+    twice = "(a) x\n(1) y\n(a) z"
+    assert amend.parsed(twice).rendered() == twice.splitlines() and amend.apply_one(twice, "remove", "a", "")[0] == "(a) z"
+
+
+def test_many_actions_are_linear():
+    t = amend.Text("\n".join(f"({i}) line" for i in range(1, 400)))
+    began = time.time()
+    for i in range(100_000):
+        assert t.apply("amend", str(1 + i % 399), f"text {i}")
+    assert time.time() - began < 20 and t.body().count("\n") == 398
 
 
 def test_amended_text(spark):
