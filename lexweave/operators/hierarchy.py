@@ -1,14 +1,15 @@
 """Problem 5: parent links to full hierarchies.
 
 Components are found by pointer doubling (each node has one parent, so ``k`` joins reach ``2^k`` steps). Each
-component is then co-located and walked by an iterative depth-first search with node colours, which gives root, depth,
-path and the back edges that close cycles. Components above ``max_component`` nodes are never put into one task: for
-them root, depth and cycle come from the doubling itself, and paths from doubling over path arrays.
+component is then co-located and walked by an iterative depth-first search with node colours, in linear time, which gives
+root, depth, path and the cycles. Components above ``max_component`` nodes are never put into one task: for them root,
+depth and cycle come from the doubling itself, and paths from doubling over path arrays, with the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from lexweave.functions import names
 from lexweave.session import ship, staged
 
-#: Largest component that one task may hold (about 200 bytes a node in Python).
+#: Largest component that one task may hold (about 400 bytes a node in Python).
 MAX_COMPONENT = 1_000_000
 
 
@@ -45,127 +46,145 @@ def doubled(links: DataFrame) -> DataFrame:
     the number of those left. As long as a rooted node is open, so is the one of depth ``2^k`` above it (or itself), and the
     next round closes that; so those left have no root. No way to a cycle nor the cycle is longer than their number: ``2^k``
     steps ahead they stand on it, and the least id of the ``2^k`` nodes from there is the least of the cycle.
+
+    Only open nodes are joined and written again; those that have met a root stay where they were written.
     """
-    now = links.select(
-        "id",
-        "parent",
-        F.coalesce("parent", "id").alias("jump"),
-        F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
-        F.col("parent").isNull().alias("done"),
-        F.col("id").alias("least"),
-    )
-    now = staged(now, "links")
-    k, before = 0, None
-    while True:
-        open_ = now.where(~F.col("done")).count()
-        if open_ == 0 or (open_ == before and 2**k >= open_):
-            break
+    start = staged(links.select("id", "parent"), "links")
+    done = [start.where("parent IS NULL").select("id", "parent", F.col("id").alias("jump"), F.lit(0).cast("bigint").alias("dist"))]
+    now = start.where("parent IS NOT NULL").select("id", "parent", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("dist"), F.col("id").alias("least"))
+    k, before, open_ = 0, None, now.count()
+    while open_ and not (open_ == before and 2**k >= open_):
         before = open_
-        ahead = now.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"), F.col("least").alias("least2"))
-        moved = now.where(~F.col("done")).join(ahead, "jump")
-        now = staged(
-            now.where("done").unionByName(
-                moved.select(
-                    "id", "parent", F.col("jump2").alias("jump"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"), F.least("least", "least2").alias("least")
-                )
+        met = reduce(DataFrame.unionByName, done).select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("dist").alias("dist2"), F.lit(None).cast("string").alias("least2"))
+        ahead = met.unionByName(now.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("dist").alias("dist2"), F.col("least").alias("least2")))
+        moved = staged(
+            now.join(ahead, "jump").select(
+                "id", "parent", F.col("jump2").alias("jump"), (F.col("dist") + F.col("dist2")).alias("dist"), F.when(F.col("least2").isNotNull(), F.least("least", "least2")).alias("least")
             ),
             "links",
         )
-        k += 1
-    rooted = now.where("done").select("id", "parent", F.col("jump").alias("component"), "dist", F.lit(True).alias("rooted"))
+        done.append(moved.where("least IS NULL").drop("least"))
+        now = moved.where("least IS NOT NULL")
+        open_, k = now.count(), k + 1
+    rooted = reduce(DataFrame.unionByName, done).select("id", "parent", F.col("jump").alias("component"), "dist", F.lit(True).alias("rooted"))
     if open_ == 0:
         return rooted
-    cycles = now.where(~F.col("done"))
     least = now.select(F.col("id").alias("jump"), F.col("least").alias("component"))
-    return rooted.unionByName(cycles.join(least, "jump").select("id", "parent", "component", F.lit(-1).cast("bigint").alias("dist"), F.lit(False).alias("rooted")))
+    return rooted.unionByName(now.select("id", "parent", "jump").join(least, "jump").select("id", "parent", "component", F.lit(-1).cast("bigint").alias("dist"), F.lit(False).alias("rooted")))
 
 
 WALK_SCHEMA = "id string, parent string, component string, root_id string, depth int, path array<string>, back_edge boolean"
+WHITE, GREY, BLACK = 0, 1, 2
+
 
+def _walk(ids: list, parents: list) -> tuple[list[int], list[int], list[int], set[int]]:
+    """Depth-first search along the parent links of whole components, with node colours and in linear time.
 
-def _walk(ids: list, parents: list) -> list[tuple]:
-    """Depth-first search along the parent links of whole components, with colours: absent white, None grey, else black."""
-    parent = dict(zip(ids, parents))
-    seen: dict = {}
-    back = set()
-    for start in ids:
+    (parent, root or least node of the cycle, depth or -1) of every node as positions, and the least node of each cycle.
+    """
+    at = {x: i for i, x in enumerate(ids)}
+    up = [-1 if p is None else at[p] for p in parents]
+    colour, root, depth, back = bytearray(len(ids)), [0] * len(ids), [-1] * len(ids), set()
+    for start in range(len(ids)):
         trail, node = [], start
-        while node not in seen:
-            seen[node] = None
+        while node >= 0 and colour[node] == WHITE:
+            colour[node] = GREY
             trail.append(node)
-            up = parent[node]
-            if up is None:
-                break
-            node = up
-        top = trail[-1] if trail else None
-        if top is None:
-            continue
-        if parent[top] is None:
-            seen[top] = (top, 0, (top,))
-            trail.pop()
-        elif seen[parent[top]] is None:  # grey: the edge top -> parent[top] closes a cycle
-            back.add(top)
-            cycle = trail[trail.index(parent[top]) :]
-            root = min(cycle)
-            for x in trail:
-                seen[x] = (root, -1, None)
+            node = up[node]
+        if not trail:
             continue
+        if node < 0:
+            top = trail.pop()
+            root[top], depth[top], colour[top] = top, 0, BLACK
+        elif colour[node] == GREY:  # the edge to a grey node closes a cycle
+            cycle, x = [node], up[node]
+            while x != node:
+                cycle.append(x)
+                x = up[x]
+            least = min(cycle, key=ids.__getitem__)
+            back.add(least)
+            for x in cycle:
+                root[x], colour[x] = least, BLACK
         for x in reversed(trail):
-            root, depth, path = seen[parent[x]]
-            seen[x] = (root, -1, None) if depth < 0 else (root, depth + 1, (*path, x))
-    return [(*seen[i], i in back) for i in ids]
+            if colour[x] != BLACK:
+                root[x], colour[x] = root[up[x]], BLACK
+                depth[x] = depth[up[x]] + 1 if depth[up[x]] >= 0 else -1
+    return up, root, depth, back
+
+
+def _walk_components(with_paths: bool, most: int = 1_000_000):
+    """Batches sorted by component to the rows of ``hierarchy``; paths are built a slice of about ``most`` entries at a time."""
+
+    def walked(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids = pdf["id"].tolist()
+        up, root, depth, back = _walk(ids, [None if x is None or x != x else x for x in pdf["parent"]])
+        out = pdf[["id", "parent", "component"]].reset_index(drop=True)
+        out["root_id"] = [ids[r] for r in root]
+        out["depth"] = pd.array(depth, dtype="int32")
+        out["path"] = None
+        out["back_edge"] = [i in back for i in range(len(ids))]
+        if not with_paths:
+            yield out
+            return
+        start = held = 0
+        for i in range(len(ids) + 1):
+            if i == len(ids) or held > most:
+                part = out.iloc[start:i].copy()
+                part["path"] = [_path(ids, up, j) if depth[j] >= 0 else None for j in range(start, i)]
+                yield part
+                start, held = i, 0
+            if i < len(ids):
+                held += depth[i] + 2
 
-
-def _walk_components(with_paths: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-
-        def done(pdf: pd.DataFrame) -> pd.DataFrame:
-            found = _walk(pdf["id"].tolist(), [None if x is None or x != x else x for x in pdf["parent"]])
-            out = pdf[["id", "parent", "component"]].copy()
-            out["root_id"] = [f[0] for f in found]
-            out["depth"] = pd.array([f[1] for f in found], dtype="int32")
-            out["path"] = [list(f[2]) if with_paths and f[2] else None for f in found]
-            out["back_edge"] = [f[3] for f in found]
-            return out
-
         for pdf in batches:  # sorted by component: all but the last one are whole
             if pdf.empty:
                 continue
             last = pdf["component"] == pdf["component"].iloc[-1]
-            if last.all() and held and held[-1]["component"].iloc[-1] == pdf["component"].iloc[0]:
+            goes_on = bool(held) and held[-1]["component"].iloc[-1] == pdf["component"].iloc[0]
+            if goes_on and last.all():
                 held.append(pdf)
                 continue
-            whole = [*held, pdf[~last]] if held and held[-1]["component"].iloc[-1] == pdf["component"].iloc[0] else None
-            if whole is None:
-                if held:
-                    yield done(pd.concat(held))
-                whole = [pdf[~last]]
-            whole = pd.concat(whole)
+            if held and not goes_on:
+                yield from walked(pd.concat(held))
+                held = []
+            whole = pd.concat([*held, pdf[~last]])
             if len(whole):
-                yield done(whole)
+                yield from walked(whole)
             held = [pdf[last]]
         if held:
-            yield done(pd.concat(held))
+            yield from walked(pd.concat(held))
 
     return run
 
 
+def _path(ids: list, up: list[int], node: int) -> list:
+    out = []
+    while node >= 0:
+        out.append(ids[node])
+        node = up[node]
+    return out[::-1]
+
+
 def hierarchy(links: DataFrame, with_paths: bool = True, max_component: int = MAX_COMPONENT) -> DataFrame:
     """(id, parent, component, root_id, depth, path, back_edge) of every node of ``links`` (``single_parent``).
 
     path runs from the root to the node. A node that never reaches a root has depth -1, no path and the least id of its
-    cycle as root_id; back_edge marks one node per cycle, the one whose parent link closes it (for components above
-    ``max_component``, the least node of the cycle).
+    cycle as root_id; back_edge marks one node per cycle, its least one, whose parent link counts as the one that closes it.
+    Neither the order of rows nor ``max_component`` (where a component is walked) changes the result.
     """
     ship(links.sparkSession)
     all_ = staged(doubled(links), "components")
-    sizes = all_.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > max_component).select("component")
-    small = all_.join(sizes, "component", "left_anti")
+    small, sizes = all_, all_.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > max_component).select("component")
+    large = None
+    if all_.isEmpty() or not sizes.isEmpty():
+        small, large = all_.join(sizes, "component", "left_anti"), all_.join(sizes, "component", "left_semi")
     walked = (
         small.select("id", "parent", "component").repartition("component").sortWithinPartitions("component").mapInPandas(_walk_components(with_paths), WALK_SCHEMA)
     )
-    large = all_.join(sizes, "component", "left_semi")
+    if large is None:
+        return walked
     if with_paths:
         large = large.join(_paths(large), "id", "left")
     else:
@@ -177,6 +196,22 @@ def hierarchy(links: DataFrame, with_paths: bool = True, max_component: int = MA
     )
 
 
+MARK = "\x1f"
+
+
+def forest(trees: dict[str, DataFrame], with_paths: bool = True, max_component: int = MAX_COMPONENT) -> DataFrame:
+    """``hierarchy`` of several sets of links at once, with the set's name as ``tree``: one set of rounds serves all.
+
+    Ids carry the name while they are walked, so equal ids of two sets stay apart.
+    """
+    named = [df.select(F.concat(F.lit(tree + MARK), "id").alias("id"), F.concat(F.lit(tree + MARK), "parent").alias("parent")) for tree, df in trees.items()]
+    out = hierarchy(reduce(DataFrame.unionByName, named), with_paths, max_component)
+    bare = lambda x: F.substring_index(x, MARK, -1)
+    return out.select(
+        F.substring_index("id", MARK, 1).alias("tree"), *(bare(x).alias(x) for x in ("id", "parent", "component", "root_id")), "depth", F.transform("path", bare).alias("path"), "back_edge"
+    )
+
+
 def _paths(nodes: DataFrame) -> DataFrame:
     """Paths of rooted nodes by doubling: each round a node's path is prefixed by that of the first node above it."""
     rooted = nodes.where("rooted").select("id", "parent", "dist")
@@ -190,16 +225,16 @@ def _paths(nodes: DataFrame) -> DataFrame:
     return now.select("id", "path")
 
 
-def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor, id, distance) of every node and each node above it, from the paths of ``hierarchy``.
+def descendants(tree: DataFrame, *keep: str) -> DataFrame:
+    """(ancestor, id, distance) of every node and each node above it, from the paths of ``hierarchy``; ``keep`` goes along.
 
     One row per pair of a node and an ancestor is the result itself; cycles have none.
     """
     return (
         tree.where(F.col("depth") > 0)
-        .select("id", "depth", F.posexplode("path").alias("pos", "ancestor"))
+        .select(*keep, "id", "depth", F.posexplode("path").alias("pos", "ancestor"))
         .where(F.col("pos") < F.col("depth"))
-        .select("ancestor", "id", (F.col("depth") - F.col("pos")).cast("int").alias("distance"))
+        .select(*keep, "ancestor", "id", (F.col("depth") - F.col("pos")).cast("int").alias("distance"))
     )
 
 

@@ -27,9 +27,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trees(spark: SparkSession, d: str, with_paths: bool) -> DataFrame:
-    nodes = hierarchy.hierarchy(hierarchy.node_links(table(spark, d, "nodes")), with_paths)
-    sections = hierarchy.hierarchy(hierarchy.section_links(table(spark, d, "sections")), with_paths)
-    return nodes.withColumn("tree", F.lit("nodes")).unionByName(sections.withColumn("tree", F.lit("sections")))
+    return hierarchy.forest({"nodes": hierarchy.node_links(table(spark, d, "nodes")), "sections": hierarchy.section_links(table(spark, d, "sections"))}, with_paths)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,10 +39,7 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    tree = _trees(spark, d, with_paths=True)
-    return hierarchy.descendants(tree.where("tree = 'nodes'")).withColumn("tree", F.lit("nodes")).unionByName(
-        hierarchy.descendants(tree.where("tree = 'sections'")).withColumn("tree", F.lit("sections"))
-    )
+    return hierarchy.descendants(_trees(spark, d, with_paths=True), "tree")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

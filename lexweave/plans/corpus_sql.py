@@ -85,6 +85,9 @@ SELECT field, ref_month, count(*) AS refs, count(*) FILTER (WHERE lost) AS orpha
 FROM marked GROUP BY field, ref_month""",
     "p5_found": f"""WITH RECURSIVE {_TREES}
 SELECT tree, id, root_id, CAST(depth AS INTEGER) AS depth FROM down UNION ALL SELECT tree, id, root_id, CAST(-1 AS INTEGER) FROM cyclic""",
+    "p5_paths": f"""WITH RECURSIVE {_TREES}
+SELECT tree, id, root_id, CAST(depth AS INTEGER) AS depth, path, false AS back_edge FROM down
+UNION ALL SELECT tree, id, root_id, CAST(-1 AS INTEGER), CAST(NULL AS VARCHAR), id = root_id FROM cyclic""",
     "p5_descendants": f"""WITH RECURSIVE {_TREES}
 SELECT tree, a.x AS ancestor, id, CAST(depth - a.i + 1 AS INTEGER) AS distance FROM (SELECT tree, id, depth, trail, unnest(range(1, depth + 1)) AS i FROM down) d, LATERAL (SELECT d.trail[d.i] AS x, d.i AS i) a""",
     "p6_found": f"""WITH {_DELIVERED},
