@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -41,12 +42,16 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) a local temporary folder is made and set.
+    Only in local mode (tests, a laptop) and where that is unset a local temporary folder is made and set; on a cluster a
+    folder of one machine would lose rows, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         base = tempfile.mkdtemp(prefix="lexweave-")
         _local_dirs.append(base)
         base = f"file://{base}"
@@ -108,11 +113,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file with its content at once, unless it exists: of several writers one succeeds.
+
+    By a hard link on a local folder, else by a rename that fails on an existing file (HDFS and its like; an object store
+    needs a file system layer with atomic renames).
+    """
+    fs, final = fs_of(spark, path)
+    fs.mkdirs(final.getParent())
+    _, tmp = fs_of(spark, f"{final.getParent().toString()}/.{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            try:
+                os.link(tmp.toUri().getPath(), final.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        return not fs.exists(final) and bool(fs.rename(tmp, final))
+    finally:
+        fs.delete(tmp, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = fs_of(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def drop_staged(spark: SparkSession | None = None) -> None:
+    """Delete every table staged so far (by any session, or by one), on whatever file system it lies.
+
+    Runs by itself when the driver ends; a driver that goes on calls it once its results are written.
+    """
+    kept = []
+    for owner, path in _written:
+        if spark is not None and owner is not spark:
+            kept.append((owner, path))
+            continue
+        try:
+            remove(owner, path)
+        except Exception:  # the JVM is gone: what is local can still be deleted
+            if path.startswith("file:/"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    _written[:] = kept
+
+
 @atexit.register
 def _clean() -> None:
+    drop_staged()
     for d in _local_dirs:
         shutil.rmtree(d, ignore_errors=True)
-    for spark, path in _written:
-        local = path.removeprefix("file://")
-        if path.startswith("file:/") and os.path.isdir(local):
-            shutil.rmtree(local, ignore_errors=True)

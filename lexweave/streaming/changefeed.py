@@ -1,22 +1,25 @@
-"""Problem 1: a change feed applied as keyed streaming state of its actions, and their paragraphs.
+"""Problem 1: a change feed applied as keyed streaming state of its actions and of their paragraphs.
 
-Two keyed aggregates, both order-free (accepting a change twice, late or out of order gives the same result):
+Both states are order-free (accepting a change twice, late or out of order gives the same result) and are emitted as
+idempotent upserts, one output directory per micro-batch (``Upserts``), compacted when there are many:
 
-* per *action*: payload, last sequence ``(revision, received_at, feed_pos)``; only a newer sequence replaces
-  it. This is a streaming aggregation in Spark's state store, partially aggregated before its shuffle, and its
-  upserts go to an output directory per micro-batch (rewriting a batch overwrites its own directory).
-* per *paragraph*: payload, sequence of the last payload, of the last ``add`` and of the last removal (the
-  tombstone). A paragraph exists if its last ``add`` is newer than its tombstone, so three maxima are enough and
-  a hot work is split over its paragraphs, pre-aggregated before the shuffle. This one is a batch aggregation over
-  all actions at each call: it is neither kept in streaming state nor published as upserts.
+* per *action*: payload and last sequence ``(revision, received_at, feed_pos)`` in Spark's state store, partially
+  aggregated before its shuffle; only a newer sequence replaces it. An action whose newest revision can do nothing (no
+  date, no work) stays as a tombstone, so an older revision that comes late cannot revive it.
+* per *paragraph*: payload (the action that gave its text), sequence (the batch) and tombstone. Each micro-batch takes
+  the works its accepted changes touch, before or after the change, and sets their paragraphs anew from the current
+  actions; a paragraph that is there no longer gets a tombstone. Works without changes are neither read nor written.
 
-A redesignation ties two paragraphs together. The timeline of each paragraph so touched is cut at its
+Within a work a paragraph has the sequences of its last payload, last ``add`` and last removal. It exists if its last
+``add`` is newer than its removal, so three maxima are enough and a hot work is split over its paragraphs, pre-aggregated
+before the shuffle. A redesignation ties two paragraphs together. The timeline of each paragraph so touched is cut at its
 redesignations; what lies between two cuts is pre-aggregated to at most one effect (set, clear, amend-if-there),
 and only those effects and the redesignations are folded in order, streaming, per work.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,16 +28,29 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import names
 from lexweave.session import fs_of, new_path, ship, staged
+from lexweave.streaming.upserts import Upserts
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ACTION_COLUMNS = ["action_id", "target_id", "target_anchor", "kind", "effective", "text", "revision", "received_at", "feed_pos"]
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet file or directory as a stream (a file source wants a directory or a pattern)."""
-    schema = spark.read.parquet(path).schema
+    """A Parquet file or directory as a stream. A file source wants a directory: for one file, that of its folder with all
+    other names filtered out."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     fs, p = fs_of(spark, path)
-    return spark.readStream.schema(schema).parquet(path + "*" if fs.getFileStatus(p).isFile() else path)
+    if not fs.getFileStatus(p).isFile():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", re.sub(r"([\\*?\[\]{}^])", r"\\\1", p.getName())).parquet(p.getParent().toString())
+
+
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose settings are its own, with state stores on local disk and changelogs in the
+    checkpoint, so that a feed of any size fits; a provider the session chose itself is kept."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    chosen = own.conf.get(STATE_STORE)
+    own.conf.set(STATE_STORE, chosen.replace("HDFSBackedStateStoreProvider", "RocksDBStateStoreProvider"))
+    return own
 
 
 def latest_actions(feed: DataFrame, with_text: bool = False) -> DataFrame:
@@ -62,41 +78,50 @@ def latest_actions(feed: DataFrame, with_text: bool = False) -> DataFrame:
     )
 
 
-def apply_stream(feed: DataFrame, out: str, checkpoint: str, with_text: bool = False, max_batches: int | None = None) -> DataFrame:
-    """Run the keyed action state over a streaming ``feed`` and return the current actions.
+def action_state(spark: SparkSession, base: str) -> Upserts:
+    return Upserts(spark, f"{base}/actions", ["action_id"])
+
+
+def paragraph_state(spark: SparkSession, base: str) -> Upserts:
+    return Upserts(spark, f"{base}/paragraphs", ["target_id", "target_anchor"])
 
-    ``out`` gets one directory ``batch=N`` per micro-batch with that batch's upserts; a repeated batch overwrites
-    its own directory, so a restart from ``checkpoint`` neither loses nor doubles anything.
+
+def apply_stream(feed: DataFrame, base: str, with_text: bool = False, compact_after: int = 20) -> DataFrame:
+    """Run the keyed states over a streaming ``feed`` to its present end; the paragraphs that exist then.
+
+    ``base`` is a lasting folder of the shared file system: upserts of actions and paragraphs by micro-batch, and the
+    checkpoint. A batch that is repeated after a failure writes the same directories again, so a restart neither loses nor
+    doubles anything. After ``compact_after`` batches the upserts are merged.
     """
     spark = feed.sparkSession
-
-    def publish(upserts: DataFrame, batch: int) -> None:
-        upserts.select("action_id", "payload.*", "sequence").write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-    # State on local disk with changelogs in the checkpoint, so that a feed of any size fits; a session's own choice wins.
-    chosen = spark.conf.get(STATE_STORE)
-    if chosen.endswith("HDFSBackedStateStoreProvider"):
-        spark.conf.set(STATE_STORE, chosen.replace("HDFSBackedStateStoreProvider", "RocksDBStateStoreProvider"))
-    try:
-        query = (
-            latest_actions(feed, with_text)
-            .writeStream.outputMode("update")
-            .foreachBatch(publish)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        spark.conf.set(STATE_STORE, chosen)
-    fs, p = fs_of(spark, out)
-    if not fs.exists(p):
-        return latest_actions(spark.createDataFrame([], feed.schema), with_text).select("action_id", "payload.*", "sequence")
-    # The state of an action only grows in sequence, so the newest sequence of all upserts is the current one.
-    upserts = spark.read.parquet(out).drop("batch")
-    newest = upserts.groupBy("action_id").agg(F.max_by(F.struct(*[x for x in upserts.columns if x != "action_id"]), "sequence").alias("s"))
-    batches = [s for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=")]
-    return upserts if len(batches) == 1 else newest.select("action_id", "s.*")
+    actions, paragraphs = action_state(spark, base), paragraph_state(spark, base)
+
+    def publish(accepted: DataFrame, batch: int) -> None:
+        known, there = actions.current(before=batch), paragraphs.current(before=batch)
+        tombstone = F.col("payload.effective").isNull() | F.col("payload.work").isNull()
+        actions.write(accepted.select("action_id", "payload.*", tombstone.alias("tombstone"), "sequence"), batch)
+        now = actions.current(before=batch + 1)
+        if known is not None:  # only the works that accepted changes touch, where they are and where they were
+            changed = spark.read.parquet(f"{actions.root}/batch={batch}")
+            works = changed.select("work").unionByName(known.join(changed.select("action_id"), "action_id", "left_semi").select("work")).where("work IS NOT NULL").distinct()
+            now = now.join(works, "work", "left_semi")
+        live = current_paragraphs(now).select("target_id", "target_anchor", "action_id", F.lit(False).alias("tombstone"), F.lit(batch).cast("bigint").alias("sequence"))
+        if there is not None:
+            live = staged(live, "paragraphs")
+            of_works = there.where("NOT tombstone").join(works.select(F.col("work").alias("target_id")), "target_id", "left_semi")
+            gone = of_works.join(live.select("target_id", "target_anchor"), ["target_id", "target_anchor"], "left_anti")
+            live = live.unionByName(gone.withColumn("tombstone", F.lit(True)).withColumn("sequence", F.lit(batch).cast("bigint")))
+        paragraphs.write(live, batch)
+
+    query = latest_actions(feed, with_text).writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    for state in (actions, paragraphs):
+        if len(state._live()) > compact_after:
+            state.compact()
+    found = paragraphs.current()
+    if found is None:
+        return spark.createDataFrame([], FOLD_SCHEMA)
+    return found.where("NOT tombstone").select("target_id", "target_anchor", "action_id")
 
 
 def _registers(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -202,10 +227,9 @@ def with_text(paragraphs: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def rebuild(spark: SparkSession, path: str, state_dir: str | None = None) -> DataFrame:
-    """Stream the feed at ``path`` through the keyed state and return its current paragraphs.
+    """Stream the feed at ``path`` through the keyed states and return its current paragraphs.
 
     With a lasting ``state_dir`` the next call goes on where this one stopped.
     """
-    base = state_dir or new_path(spark, "feed")
-    actions = apply_stream(stream_of(spark, path).select(*ACTION_COLUMNS), f"{base}/upserts", f"{base}/checkpoint")
-    return current_paragraphs(actions)
+    own = own_session(spark)
+    return apply_stream(stream_of(own, path).select(*ACTION_COLUMNS), state_dir or new_path(spark, "feed"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions import names
-from lexweave.sources.sinks import Generations, refreshed
+from lexweave.session import staged
+from lexweave.streaming.upserts import Upserts
 
 
 def change_rates(feed: DataFrame, width: str = "1 day", delay: str = "60 days") -> DataFrame:
@@ -23,18 +24,40 @@ def run_to_files(stream: DataFrame, out: str, checkpoint: str, mode: str = "appe
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
 
 
-def keep_fresh(files: DataFrame, generations: Generations, layer: str, key: str, digest: str, build: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
-    """Fold a stream of (key, digest, ...) file states into a layer: each micro-batch rebuilds only changed keys and publishes
-    one new generation. A repeated batch finds its digests in place and changes nothing."""
-
-    def one(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates([key])
-        old = generations.read(layer)
-        if old is None:
-            generations.publish({layer: build(new)})
-            return
-        rest = old.join(new.select(key), key, "left_anti")
-        kept, _todo = refreshed(old.join(new.select(key), key, "left_semi"), new, key, digest, build)
-        generations.publish({layer: rest.unionByName(kept)})
+def keep_fresh(files: DataFrame, layer: Upserts, digest: str, build: Callable[[DataFrame], DataFrame], checkpoint: str, deleted: str | None = None) -> None:
+    """Fold a stream of file states (key, digest, sequence, inputs) into a layer of built rows, micro-batch by micro-batch.
+
+    Of several states of a key the greatest sequence counts, and one that is older than what the layer holds changes
+    nothing. A key is only built when its digest changes; where ``deleted`` is true it gets a tombstone. Each batch
+    writes its own upserts, not the layer. ``build`` maps input rows to built rows with key and digest, one per key.
+    """
+    key, seq = layer.key, layer.sequence
+
+    def one(batch: DataFrame, n: int) -> None:
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        rows = batch.withColumn("_gone", gone)
+        rest = [c for c in rows.columns if c not in key]
+        newest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), seq).alias("_r")).select(*key, *(F.col("_r")[c].alias(c) for c in rest))
+        held = layer.current(before=n)
+        if held is not None:
+            old = held.select(*key, F.col(seq).alias("_seq"), F.when(~F.col("tombstone"), F.col(digest)).alias("_digest"))
+            newest = newest.join(old, key, "left").where(F.col("_seq").isNull() | (F.col(seq) > F.col("_seq")))
+            same = ~F.col("_gone") & F.coalesce(F.col("_digest") == F.col(digest), F.lit(False))
+        else:
+            same = F.lit(False)
+        newest = staged(newest.withColumn("_same", same), "states")
+        todo = newest.where("NOT _gone AND NOT _same")
+        built = build(todo.drop("_gone", "_same", "_seq", "_digest")).drop(seq).join(todo.select(*key, seq), key).withColumn("tombstone", F.lit(False))
+        dead = newest.where("_gone").select(*key, seq, F.lit(True).alias("tombstone"))
+        out = built.unionByName(dead, allowMissingColumns=True)
+        if held is not None:
+            out = out.unionByName(held.drop(seq).join(newest.where("_same").select(*key, seq), key).select(*out.columns))
+        layer.write(out, n)
 
     files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def fresh_rows(layer: Upserts) -> DataFrame | None:
+    """The layer's rows that are not deleted."""
+    rows = layer.current()
+    return None if rows is None else rows.where("NOT tombstone").drop("tombstone")

@@ -118,3 +118,29 @@ def test_empty_and_extra_columns(spark, tmp_path):
     path = str(tmp_path / "none")
     spark.createDataFrame([], SCHEMA + ", seq string, work string, payload string").write.parquet(path)
     assert changefeed.rebuild(spark, path).count() == 0
+
+
+def test_states_are_upserts_with_tombstones(spark, tmp_path):
+    """Only touched works are written again; a paragraph that goes, or an action that moves, leaves a tombstone."""
+    path, state = str(tmp_path / "feed"), str(tmp_path / "state")
+    day = date(2020, 1, 1)
+    act = lambda pos, a, w, p, k, eff=day, rev=1: (pos, f"RN:2020-1#instr-{a}", None, w, p, k, eff, "t", rev, datetime(2020, 1, 1))
+
+    def go(*rows):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        return found(changefeed.rebuild(spark, path, state))
+
+    one = lambda a: f"RN:2020-1#instr-{a}"
+    assert go(act(1, 1, "A:1", "a", "add"), act(2, 2, "A:1", "b", "add"), act(3, 3, "A:2", "a", "add")) == {("A:1", "a", one(1)), ("A:1", "b", one(2)), ("A:2", "a", one(3))}
+    assert go(act(4, 4, "A:1", "b", "remove", date(2020, 1, 2))) == {("A:1", "a", one(1)), ("A:2", "a", one(3))}
+    paragraphs = changefeed.paragraph_state(spark, state)
+    last = spark.read.parquet(f"{paragraphs.root}/batch=1").collect()
+    assert {(r.target_id, r.target_anchor, r.tombstone) for r in last} == {("A:1", "a", False), ("A:1", "b", True)}
+    # The action moves to another work; an older revision that comes late does not bring it back, nor does a void one.
+    assert go(act(5, 1, "A:3", "a", "add", rev=3)) == {("A:2", "a", one(3)), ("A:3", "a", one(1))}
+    assert go(act(6, 1, "A:1", "a", "add", rev=2), act(7, 3, "A:2", "a", "add", None, 2)) == {("A:3", "a", one(1))}
+    assert go(act(8, 3, "A:2", "a", "add", day, 1)) == {("A:3", "a", one(1))}
+    assert {(r.action_id, r.tombstone) for r in changefeed.action_state(spark, state).current().collect()} == {(one(1), False), (one(2), False), (one(3), True), (one(4), False)}
+    for s in (paragraphs, changefeed.action_state(spark, state)):
+        s.compact()
+    assert go(act(9, 9, "A:9", None, "add")) == {("A:3", "a", one(1)), ("A:9", "", one(9))}

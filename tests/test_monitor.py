@@ -1,8 +1,8 @@
 from datetime import datetime, timedelta
 
-from lexweave.sources.sinks import Generations
 from lexweave.streaming import monitor
 from lexweave.streaming.changefeed import stream_of
+from lexweave.streaming.upserts import Upserts
 
 
 def test_rates(spark, tmp_path):
@@ -20,19 +20,37 @@ def test_rates(spark, tmp_path):
 
 
 def test_keep_fresh(spark, tmp_path):
-    path, schema = str(tmp_path / "files"), "k string, h string"
-    g = Generations(spark, f"file://{tmp_path}/gen")
+    path, schema = str(tmp_path / "files"), "k string, h string, sequence bigint, gone boolean"
+    layer = Upserts(spark, f"file://{tmp_path}/layer", ["k"])
     built = []
 
     def build(t):
         built.extend(r.k for r in t.collect())
         return t.selectExpr("k", "h", "k || h AS made")
 
-    def go():
-        monitor.keep_fresh(stream_of(spark, path), g, "x", "k", "h", build, str(tmp_path / "cp"))
-
-    spark.createDataFrame([("a", "1"), ("b", "1")], schema).coalesce(1).write.parquet(path)
-    go()
-    spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1")], schema).coalesce(1).write.mode("append").parquet(path)
-    go()
-    assert sorted(r.made for r in g.read("x").collect()) == ["a1", "b2", "c1"] and sorted(set(built)) == ["a", "b", "c"] and built.count("a") == 1
+    def go(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        monitor.keep_fresh(stream_of(spark, path), layer, "h", build, str(tmp_path / "cp"), "gone")
+        return sorted(r.made for r in monitor.fresh_rows(layer).collect())
+
+    assert go(("a", "1", 1, False), ("b", "0", 1, None), ("b", "1", 2, False)) == ["a1", "b1"]
+    assert go(("a", "1", 3, False), ("b", "2", 3, False), ("b", "x", 1, False), ("c", "1", 3, False)) == ["a1", "b2", "c1"]
+    assert sorted(set(built)) == ["a", "b", "c"] and built.count("a") == 1
+    assert go(("a", "9", 2, False), ("c", None, 4, True)) == ["a1", "b2"]  # an older state, and a deletion
+    assert go(("c", "1", 2, False)) == ["a1", "b2"]  # the tombstone stands against what is older
+    before = {tuple(r) for r in layer.current().collect()}
+    layer.compact()
+    assert {tuple(r) for r in layer.current().collect()} == before and len(layer._live()) == 1
+    assert go(("c", "1", 5, False), ("a", "1", 6, True)) == ["b2", "c1"]
+
+
+def test_one_file_of_a_folder(spark, tmp_path):
+    """Only the file itself is read, whatever signs its name has and whatever lies beside it."""
+    import pandas as pd
+
+    for name in ("a[1]{x}.parquet", "a[1]{x}.parquet.bak", "a1x.parquet"):
+        pd.DataFrame({"kind": [name], "received_at": [datetime(2024, 1, 1)]}).to_parquet(tmp_path / name, coerce_timestamps="us")
+    q = "file://" + str(tmp_path)
+    reader = stream_of(spark, f"{q}/a1x.parquet")
+    monitor.run_to_files(reader, str(tmp_path / "o"), str(tmp_path / "c"))
+    assert [r.kind for r in spark.read.parquet(str(tmp_path / "o")).collect()] == ["a1x.parquet"]
