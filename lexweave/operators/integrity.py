@@ -86,9 +86,16 @@ def orphans(sections: DataFrame, actions: DataFrame) -> DataFrame:
     amended_by, if the action takes effect after the referrer. Null and empty names are no references; null dates
     are only checked for the id. Empty tables give no rows (an empty parent table makes every reference an orphan).
     """
+    return _lost(*_staged_references(sections, actions))
+
+
+def _staged_references(sections: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     expressions = staged(deliveries(sections, "retired", "amended_by", "overrides", "narrows"), "expressions")
     acts = staged(highest_revisions(actions), "revisions")
-    refs = staged(references(expressions, acts), "references")
+    return expressions, acts, staged(references(expressions, acts), "references")
+
+
+def _lost(expressions: DataFrame, acts: DataFrame, refs: DataFrame) -> DataFrame:
     to_action = F.col("field") == "amended_by"
     works = refs.where(~to_action)
     no_work = keys_without_record(works, expressions.select(F.col("id").alias("to_key"))).withColumn("effective", F.lit(None).cast("date"))
@@ -100,17 +107,20 @@ def orphans(sections: DataFrame, actions: DataFrame) -> DataFrame:
     lost_works = works.join(bad_keys, "to_key", "left_semi").unionByName(
         works.join(bad_days, ["to_key", "effective"], "left_semi").select(*works.columns)
     )
-    amended = refs.where(to_action).join(acts.select(F.col("action_id").alias("to_key"), F.col("effective").alias("acts_on"), F.lit(True).alias("there")), "to_key", "left")
-    lost_actions = amended.where(F.col("there").isNull() | (F.col("acts_on") > F.col("effective"))).select(*refs.columns)
+    # Actions: the anti-join of distinct keys finds those nobody has; of the others, those that take effect too late.
+    amended, there = refs.where(to_action), acts.select(F.col("action_id").alias("to_key"), F.col("effective").alias("acts_on"))
+    no_action = keys_without_record(amended, there)
+    late = amended.join(there.where("acts_on IS NOT NULL"), "to_key").where(F.col("acts_on") > F.col("effective"))
+    lost_actions = amended.join(no_action, "to_key", "left_semi").select(*refs.columns).unionByName(late.select(*refs.columns))
     lost = lost_works.unionByName(lost_actions)
     return lost.select("field", "from_key", "to_key", names.month_of(F.col("effective")).alias("ref_month"))
 
 
 def orphan_counts(sections: DataFrame, actions: DataFrame) -> DataFrame:
     """References, orphans and their rate per field and month of the referrer."""
-    expressions = deliveries(sections, "retired", "amended_by", "overrides", "narrows")
-    refs = references(expressions, highest_revisions(actions)).groupBy("field", names.month_of(F.col("effective")).alias("ref_month")).agg(F.count("*").alias("refs"))
-    lost = orphans(sections, actions).groupBy("field", "ref_month").agg(F.count("*").alias("orphans"), F.countDistinct("to_key").alias("orphan_keys"))
+    expressions, acts, found = _staged_references(sections, actions)
+    refs = found.groupBy("field", names.month_of(F.col("effective")).alias("ref_month")).agg(F.count("*").alias("refs"))
+    lost = _lost(expressions, acts, found).groupBy("field", "ref_month").agg(F.count("*").alias("orphans"), F.countDistinct("to_key").alias("orphan_keys"))
     return refs.join(lost, ["field", "ref_month"], "left").select(
         "field", "ref_month", "refs", F.coalesce("orphans", F.lit(0)).cast("bigint").alias("orphans"), F.coalesce("orphan_keys", F.lit(0)).cast("bigint").alias("orphan_keys")
     )
