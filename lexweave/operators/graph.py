@@ -114,17 +114,23 @@ def over_subtree(tree_closure: DataFrame, values: DataFrame, value: str) -> Data
     return own.unionByName(below).groupBy(F.col("ancestor").alias("id")).agg(F.min(value).alias("least"))
 
 
-def held(links: DataFrame, held_ids: DataFrame, present: DataFrame, rounds: int = 50) -> DataFrame:
-    """Ids held back: those given, and all that link to a held one that is not present already, to a fixpoint."""
-    bad = staged(held_ids.select("id").distinct(), "held")
-    for _ in range(rounds):
-        open_ = bad.join(present.select("id"), "id", "left_anti")
-        more = links.join(open_.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct().join(bad, "id", "left_anti")
-        more = staged(more, "held")
+def held(links: DataFrame, held_ids: DataFrame, present: DataFrame) -> DataFrame:
+    """Ids held back: those given, and all that link to a held one that is not present already, to a fixpoint.
+
+    Each round asks only the links of what the round before it found, and writes only what is new; it ends when nothing is,
+    after as many rounds as the longest chain of links has steps. Null ids hold nothing.
+    """
+    arcs = staged(links.select("from_id", "to_id").where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct(), "links")
+    found = [staged(held_ids.select("id").where("id IS NOT NULL").distinct(), "held")]
+    while True:
+        bad = reduce(DataFrame.unionByName, found)
+        open_ = found[-1].join(present.select("id"), "id", "left_anti").select(F.col("id").alias("to_id"))
+        more = staged(arcs.join(open_, "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct().join(bad, "id", "left_anti"), "held")
         if more.isEmpty():
             return bad
-        bad = staged(bad.unionByName(more), "held")
-    raise RuntimeError("no fixpoint within the given rounds")
+        found.append(more)
+        if len(found) % 16 == 0:  # the plan does not grow with the chain
+            found = [staged(bad, "held"), more]
 
 
 def registry_order(works: DataFrame, sources: DataFrame) -> DataFrame:
@@ -134,7 +140,7 @@ def registry_order(works: DataFrame, sources: DataFrame) -> DataFrame:
     return used.select("source_name", F.row_number().over(w).cast("int").alias("position"))
 
 
-def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component): the least id of each connected component of an undirected graph, by alternating large and small stars.
 
     Each round links every node's neighbours to its least one; rows stay of the order of the edges, a hub's neighbours are
@@ -143,7 +149,7 @@ def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     links = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     links = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     nodes = pairs.select(F.explode(F.array(a, b)).alias("id")).where("id IS NOT NULL").distinct()
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: greater neighbours of u to the least of u's neighbourhood
@@ -155,6 +161,4 @@ def components(pairs: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         if new.count() == links.count() and new.exceptAll(links).isEmpty():
             break
         links = new
-    else:
-        raise RuntimeError("no fixpoint within the given rounds")
     return nodes.join(links.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.session import ship
+
 
 def placed(elements: DataFrame) -> DataFrame:
     """One row per (doc_sha, page, seq) with a text."""
@@ -42,18 +47,30 @@ def grouped_items(lines: DataFrame, starts: Column) -> DataFrame:
 
 def ranges(headings: DataFrame) -> DataFrame:
     """(doc_sha, seq, level, parent_seq, end_seq): a heading's parent is the last one before it with a smaller level, and it
-    covers the lines up to the next one of its level or above."""
-    back = Window.partitionBy("doc_sha").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("doc_sha").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    # Levels are few: one running value per level instead of a join of headings with headings.
-    levels = range(1, 7)
-    out = headings
-    parent, end = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for k in levels:
-        out = out.withColumn(f"_b{k}", F.last(F.when(F.col("level") == k, F.col("seq")), ignorenulls=True).over(back)).withColumn(f"_a{k}", F.first(F.when(F.col("level") == k, F.col("seq")), ignorenulls=True).over(ahead))
-        parent = F.greatest(parent, F.when(F.col("level") > k, F.col(f"_b{k}"))) if k > 1 else F.when(F.col("level") > 1, F.col("_b1"))
-        end = F.least(end, F.when(F.col("level") >= k, F.col(f"_a{k}"))) if k > 1 else F.col("_a1")
-    return out.select("doc_sha", "seq", "level", parent.alias("parent_seq"), end.alias("end_seq"))
+    covers the lines up to the next one of its level or above.
+
+    Any number of levels: headings stream by in order and only those still open are held. Rows without file, place or level
+    are no headings.
+    """
+    columns = ["doc_sha", "seq", "level", "parent_seq", "end_seq"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, open_ = None, []  # open headings: seq, level, parent
+        for pdf in batches:
+            out = []
+            for d, seq, level in zip(pdf["doc_sha"], pdf["seq"].tolist(), pdf["level"].tolist()):
+                if d != doc:
+                    out += [(doc, s, k, p, None) for s, k, p in open_]
+                    doc, open_ = d, []
+                while open_ and open_[-1][1] >= level:
+                    out.append((doc, *open_.pop(), seq))
+                open_.append((seq, level, open_[-1][0] if open_ else None))
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame([(doc, s, k, p, None) for s, k, p in open_], columns=columns)
+
+    ship(headings.sparkSession)
+    rows = headings.where("doc_sha IS NOT NULL AND seq IS NOT NULL AND level IS NOT NULL").select("doc_sha", F.col("seq").cast("int"), F.col("level").cast("int"))
+    return rows.repartition("doc_sha").sortWithinPartitions("doc_sha", "seq").mapInPandas(run, "doc_sha string, seq int, level int, parent_seq int, end_seq int")
 
 
 def lines_from_items(items: DataFrame, tolerance: float = 3.0, gutter: float = 40.0) -> DataFrame:

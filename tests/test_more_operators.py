@@ -1,9 +1,12 @@
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from lexweave import session
 from lexweave.functions import text as T
-from lexweave.operators import graph, passages, quality, validate
+from lexweave.operators import graph, layout, passages, quality, validate
 from lexweave.sources import notices
 
 
@@ -114,3 +117,37 @@ def test_nearest_of_every_query_row(spark):
     for q in (0, 150):
         want = ranking.top(ranking.cosine_to(v, v.where(f"vec_id = {q}"), "vec_id", "embedding"), "vec_id", 9, "cosine").collect()
         assert [(r.vec_id, r.cosine) for r in want] == [(r.vec_id, r.cosine) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
+
+
+def test_headings_of_any_depth(spark):
+    rows = [("d", i + 1, min(i + 1, 9)) for i in range(9)] + [("d", 10, 8), ("d", 11, 1), ("e", 1, 7), ("e", 2, 9), (None, 1, 1), ("e", 3, None)]
+    got = {(r.doc_sha, r.seq): (r.parent_seq, r.end_seq) for r in layout.ranges(spark.createDataFrame(rows[::-1], "doc_sha string, seq int, level int")).collect()}
+    want = {}
+    heads = [r for r in rows if None not in r]
+    for d, s, k in heads:
+        up = [x for e, x, j in heads if e == d and x < s and j < k]
+        end = [x for e, x, j in heads if e == d and x > s and j <= k]
+        want[d, s] = (max(up, default=None), min(end, default=None))
+    assert got == want and want["d", 9] == (8, 10)
+
+
+def test_long_chain_of_held_links(spark):
+    links = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(100)] + [("x", "y"), (None, "n0"), ("n1", "n0")], "from_id string, to_id string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert {r.id for r in graph.held(links, ids("n0", None), ids("q")).collect()} == {f"n{i}" for i in range(101)}
+    assert {r.id for r in graph.held(links, ids("n0"), ids("n3")).collect()} == {"n0", "n1", "n2", "n3"}
+
+
+def test_shared_folder(spark, tmp_path):
+    class Fake:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Fake)
+    df = session.staged(spark.range(3).toDF("x"), "t")
+    path = session._written[-1][1]
+    assert df.count() == 3 and os.path.isdir(path.removeprefix("file://"))
+    at = f"file://{tmp_path}/p/one"
+    assert session.put_if_absent(spark, at, "a") and not session.put_if_absent(spark, at, "b") and session.read_text(spark, at) == "a"
+    assert os.listdir(tmp_path / "p") == ["one"] or all(f.startswith(".") for f in set(os.listdir(tmp_path / "p")) - {"one"})

@@ -1,10 +1,12 @@
 """Problems 2, 4, 5 and 6 on small fixtures against plain Python."""
 
 import random
+import time
 from collections import defaultdict
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexweave.operators import hierarchy, history, incremental, integrity
 
@@ -34,16 +36,48 @@ def test_changed_since_last_good(spark):
 
 
 def test_versioned_target(spark, tmp_path):
-    target = incremental.VersionedTarget(spark, f"file://{tmp_path}/t")
+    target = incremental.VersionedTarget(spark, f"file://{tmp_path}/t", ["k"], "v")
     df = lambda rows: spark.createDataFrame(rows, "k string, v string, x int")
-    first = target.process(df([("a", "1", 1), ("b", "1", 2)]), ["k"], "v")
-    assert first.count() == 2
-    # A run that dies before it publishes leaves the last version in force.
-    dead = df([("a", "2", 1)])
-    dead.select("k", "v").write.parquet(f"file://{tmp_path}/t/v=dead")
-    second = target.process(df([("a", "2", 1), ("b", "1", 2), ("c", None, 3)]), ["k"], "v")
-    assert sorted(r.k for r in second.collect()) == ["a", "c"]
-    assert sorted(r.k for r in target.process(df([("a", "2", 1), ("c", None, 3)]), ["k"], "v").collect()) == ["c"]
+    seen = []
+
+    def process(fresh):
+        seen.append(sorted(r.k for r in fresh.collect()))
+        return fresh.select("k", "v", (F.col("x") * 10).alias("y"))
+
+    now = lambda: {(r.k, r.v, r.y) for r in target.current().collect()}
+    assert target.current() is None
+    target.run(df([("a", "1", 1), ("b", "1", 2)]), process)
+    assert seen == [["a", "b"]] and now() == {("a", "1", 10), ("b", "1", 20)}
+
+    # A run that dies while it processes, or after its outputs are written, publishes nothing and loses nothing.
+    def dies(fresh):
+        raise OSError("lost")
+
+    source = df([("a", "2", 3), ("b", "1", 2), ("c", None, 4)])
+    with pytest.raises(OSError):
+        target.run(source, dies)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(incremental, "put_if_absent", dies_late := lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            target.run(source, process)
+    assert dies_late and now() == {("a", "1", 10), ("b", "1", 20)}
+    target.run(source, process)
+    assert seen[1:] == [["a", "c"], ["a", "c"]] and now() == {("a", "2", 30), ("b", "1", 20), ("c", None, 40)}
+    assert {r.k for r in target.changes(1).collect()} == {"a", "c"}
+    # A source that delivers a part leaves the other keys; a complete one takes them away; null versions come again.
+    target.run(df([("c", None, 5)]), process)
+    assert seen[-1] == ["c"] and now() == {("a", "2", 30), ("b", "1", 20), ("c", None, 50)}
+    target.run(df([("a", "2", 9)]), process, complete=True)
+    assert seen[-1] == [] and now() == {("a", "2", 30)}
+    # Of two runs from one version the second is refused and can be repeated.
+    order = target.pointers()[-1]
+    target.publish(df([("z", "1", 1)]).select("k", "v", F.col("x").alias("y")), order)
+    with pytest.raises(incremental.Conflict):
+        target.publish(df([("q", "1", 1)]).select("k", "v", F.col("x").alias("y")), order)
+    assert now() == {("z", "1", 1)}
+    target.prune(1)
+    assert now() == {("z", "1", 1)} and len(target.pointers()) == 1
+    assert target.run(df([("z", "2", 2)]), process) == order + 2 and now() == {("z", "2", 20)}
 
 
 # ---- 4
@@ -144,6 +178,38 @@ def test_deep_chains(spark, depth, largest):
     assert {r.id: r.path for r in got if r.depth >= 0} == {x: ids[: d + 1] for d, x in enumerate(ids)}
 
 
+def test_cycles_do_not_depend_on_order_or_size(spark):
+    rows = [("c", "a"), ("a", "b"), ("b", "c"), ("x", "b"), ("y", "x"), ("z", "z"), ("r", None), ("s", "r")]
+    seen = set()
+    for order, largest in ((rows, 100), (rows[::-1], 100), (rows, 1), (rows[::-1], 2)):
+        links = spark.createDataFrame(order, "id string, parent string").coalesce(1)
+        got = {(r.id, r.root_id, r.depth, tuple(r.path or ()), r.back_edge) for r in hierarchy.hierarchy(links, max_component=largest).collect()}
+        seen.add(frozenset(got))
+    assert len(seen) == 1
+    (got,) = seen
+    assert {g[0] for g in got if g[4]} == {"a", "z"} and {g[:3] for g in got if g[0] in "xyz"} == {("x", "a", -1), ("y", "a", -1), ("z", "z", -1)}
+
+
+def test_long_chain_is_linear():
+    n = 1_000_000
+    ids = [f"n{i:07}" for i in range(n)]
+    began = time.time()
+    _, root, depth, back = hierarchy._walk(ids[::-1], [None if i == 0 else ids[i - 1] for i in range(n)][::-1])
+    assert depth[0] == n - 1 and depth[-1] == 0 and set(root) == {n - 1} and not back
+    ring = [ids[(i + 1) % n] for i in range(n)]
+    _, root, depth, back = hierarchy._walk(ids, ring)
+    assert back == {0} and set(root) == {0} and set(depth) == {-1}
+    assert time.time() - began < 30
+
+
+def test_forest(spark):
+    links = lambda rows: spark.createDataFrame(rows, "id string, parent string")
+    got = hierarchy.forest({"one": links([("a", None), ("b", "a")]), "two": links([("a", "b"), ("b", None)])}).collect()
+    assert {(r.tree, r.id, r.parent, r.root_id, r.depth, tuple(r.path)) for r in got} == {
+        ("one", "a", None, "a", 0, ("a",)), ("one", "b", "a", "a", 1, ("a", "b")), ("two", "b", None, "b", 0, ("b",)), ("two", "a", "b", "b", 1, ("b", "a")),
+    }
+
+
 def test_empty_tree(spark):
     assert hierarchy.hierarchy(hierarchy.single_parent(spark.createDataFrame([], "id string, parent string"))).count() == 0
 
