@@ -5,10 +5,12 @@
 2. Document frequencies and a randomised range finder ``Y = AᵀA·Ω`` of the TF-IDF matrix of all passages are summed
    over the partitions; ``svd(Y)`` spans the leading right singular vectors. Both are kept per language of the items (a
    passage belongs to the language most of its words are from), else a rare language would lie flat in the space.
-3. Each passage is projected and compared with all passages of the evaluation items of its language; what exceeds
-   ``min_cosine`` is a candidate, without any cap.
+3. Each passage is projected and compared with all passages of the evaluation items of every language it has enough words
+   of, so a quotation in another language than the text around it counts too; what exceeds ``min_cosine`` is a candidate,
+   without any cap. The items are the stated query set, taken in blocks of bounded size against all passages.
 4. Candidates are checked by a weighted ordered alignment (a longest common subsequence whose words count by rarity,
-   with gap costs and one cheap jump over an interruption) and the answer words it has to hold.
+   with gap costs and one cheap jump over an interruption). Items without answers (as in the test tables) are passages and
+   nothing more; where ``item_answer`` names a column, a paraphrase (not a literal chain) must hold the answer's words too.
 5. Neither similarity nor rarity can drop a passage: wherever ``span`` blocks share as many word triples with an item as
    ``min_words`` words in that few pieces must, the longest chain of matched words (few rewordings and interruptions)
    decides alone.
@@ -36,7 +38,8 @@ class Params:
     """rank: latent dimensions. min_cosine: least similarity of a candidate passage. min_words: words of the item that
     must be matched in order. min_score: least alignment score a leak has (a rare word counts 10). rewordings,
     interruptions: most words of the item left out and most interruptions in a chain of matched words that needs no score
-    (``chained``); span: blocks it lies within."""
+    (``chained``); span: blocks it lies within. language_words: words of a language that a passage needs to be compared with
+    its items. block_words: words of the items that are searched for at once, which bounds all that is broadcast."""
 
     rank: int = 160
     extra: int = 16
@@ -48,6 +51,8 @@ class Params:
     span: int = 7
     sketch_block: int = 64
     seed: int = 11
+    language_words: int = 12
+    block_words: int = 400_000
 
 
 @dataclass
@@ -59,24 +64,26 @@ class Items:
     vocabulary: dict[str, int] = field(default_factory=dict)
     lang: np.ndarray | None = None  # language of each item
     member: np.ndarray | None = None  # languages x words (and a zero for -1): words that items of the language have
+    answers: list[np.ndarray] = field(default_factory=list)  # words of each item's answer, none for an item without one
 
     @staticmethod
     def of(rows: list[tuple]) -> Items:
-        """From (key, text, language) rows; rows without a key or words are no items."""
+        """From (key, text, language[, answer]) rows; rows without a key or words are no items."""
         voc: dict[str, int] = {}
-        keys, tokens, langs = [], [], []
-        for key, text, lang in sorted(rows, key=str):
+        keys, tokens, langs, answers = [], [], [], []
+        for key, text, lang, *answer in sorted(rows, key=str):
             ids = [voc.setdefault(w, len(voc)) for w in words(text or "")]
             if key is not None and ids:
                 keys.append(key)
                 tokens.append(np.array(ids, np.int32))
                 langs.append(lang or "")
+                answers.append(np.array([voc.setdefault(w, len(voc)) for x in answer for w in words(x or "")], np.int32))
         names = sorted(set(langs))
         lang = np.array([names.index(x) for x in langs], np.int64)
         member = np.zeros((len(names), len(voc) + 1), np.float32)
         for n, t in zip(lang, tokens):
             member[n, t] = 1
-        return Items(keys, tokens, voc, lang, member)
+        return Items(keys, tokens, voc, lang, member, answers)
 
     def language_of(self, ids: np.ndarray) -> np.ndarray:
         """Language of each row of word ids."""
@@ -129,30 +136,33 @@ def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordB
         yield batch.slice(start, len(size) - start)
 
 
-def _summed(tokens: DataFrame, shape: tuple[int, int], kind: str, partial) -> np.ndarray:
-    """Sum over all partitions of ``partial(texts)``, an array of the given (bounded) shape, by a tree of two levels."""
+def _summed(tokens: DataFrame, shape: tuple[int, int], kind: str, partial, fan_in: int = 32) -> np.ndarray:
+    """Sum over all rows of ``partial(texts)``, an array of the given (bounded) shape.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Partials are as many as there are cores, whatever the data (input partitions are read one after another by a task, not
+    shuffled), and are added by a tree of ``fan_in``; the driver gets one array.
+    """
+
+    def total_of(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
-        for batch in batches:
-            for part in _slices(batch):
-                total += partial(_arrays(part.column("ids"), kind))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+        for x in arrays:
+            total += x
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return total_of(partial(_arrays(part.column("ids"), kind)) for batch in batches for part in _slices(batch))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.frombuffer(x).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
-
-    parts = tokens.select("ids").mapInArrow(run, "part binary")
-    n = parts.rdd.getNumPartitions()
-    if n > 16:
-        parts = parts.repartition(max(1, round(n**0.5))).mapInArrow(add, "part binary")
+        return total_of(np.frombuffer(x, np.float32).reshape(shape) for batch in batches for x in batch.column(0).to_pylist())
+
+    n = max(1, min(tokens.rdd.getNumPartitions(), 2 * tokens.sparkSession.sparkContext.defaultParallelism))
+    parts = tokens.select("ids").coalesce(n).mapInArrow(run, "part binary")
+    while n > fan_in:
+        n = -(-n // fan_in)
+        parts = parts.repartition(n).mapInArrow(add, "part binary")
     total = np.zeros(shape)
     for r in parts.toLocalIterator():
-        total += np.frombuffer(r.part).reshape(shape)
+        total += np.frombuffer(r.part, np.float32).reshape(shape)
     return total
 
 
@@ -205,17 +215,17 @@ def align(doc: np.ndarray, item: np.ndarray, gain: np.ndarray, gap: int = 4, jum
     """Best local alignments of pairs: (score, matched words). doc is pairs x n, item pairs x m, padded with -1 and -2.
 
     A matched word scores its gain; a replaced one costs 6, a left-out one ``gap``, and any run of words in the
-    document costs at most ``jump``. Score and matches share an integer, so one maximum carries both.
+    document costs at most ``jump``. Score and matches share a 64-bit integer, so one maximum carries both.
     """
     pairs, n = doc.shape
-    unit = 4096
-    ramp = np.arange(n, dtype=np.int32) * (gap * unit)
-    row = np.zeros((pairs, n), np.int32)
-    best = np.zeros(pairs, np.int32)
+    unit = 1 << 24
+    ramp = np.arange(n, dtype=np.int64) * (gap * unit)
+    row = np.zeros((pairs, n), np.int64)
+    best = np.zeros(pairs, np.int64)
     for i in range(item.shape[1]):
         w = item[:, i : i + 1]
         hit = doc == w
-        step = np.where(hit, gain[w] * unit + 1, -6 * unit)
+        step = np.where(hit, gain[w].astype(np.int64) * unit + 1, -6 * unit)
         diag = np.empty_like(row)
         diag[:, 0] = 0
         diag[:, 1:] = row[:, :-1]
@@ -228,18 +238,21 @@ def align(doc: np.ndarray, item: np.ndarray, gain: np.ndarray, gap: int = 4, jum
     return best // unit, best % unit
 
 
-def align_score(doc: np.ndarray, item: np.ndarray, gain: np.ndarray, gap: int = 4, jump: int = 24) -> np.ndarray:
-    """Scores alone, in 16 bits: at most those of ``align``, and hardly below (a left-out run within a block of 8 words of
-    the document costs a little more there). ``doc`` has a multiple of 8 columns; m * max(gain) must stay below 32,767.
+def align_score(doc: np.ndarray, item: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The scores of ``align`` (gap 4, jump 24) alone, exactly, in 16 bits where they fit, else in 32.
 
-    Pairs lie along the contiguous axis, so that every step runs over all of them at once.
+    ``doc`` has a multiple of 8 columns; the pairs lie along the contiguous axis, so that every step runs over all of them at
+    once. A run of up to 7 words is left out by shifts of 1, 2 and 4 places. One of 8 or more ends in a later block of 8, which
+    gets the best of the blocks before it less the jump; so does one of 7, but for that from a block's first place to its last.
     """
+    gap, jump = 4, 24
     pairs, n = doc.shape
     doc, item = np.ascontiguousarray(doc.T), np.ascontiguousarray(item.T)
-    row, best = np.zeros((n, pairs), np.int16), np.zeros(pairs, np.int16)
-    gain = gain.astype(np.int16)
-    gap_, jump_, miss = np.int16(gap), np.int16(jump), np.int16(-6)
-    reach = [(k, np.int16(gap * k)) for k in (1, 2, 4)]
+    kind = np.int16 if (len(item) + 1) * int(gain.max(initial=1)) < 32_000 else np.int32
+    row, best = np.zeros((n, pairs), kind), np.zeros(pairs, kind)
+    gain = gain.astype(kind)
+    gap_, jump_, miss = kind(gap), kind(jump), kind(-6)
+    reach = [(k, kind(gap * k)) for k in (1, 2, 4)]
     step, new, held, hit = np.empty_like(row), np.empty_like(row), np.empty_like(row), np.empty(row.shape, bool)
     for w in item:
         np.equal(doc, w, out=hit)
@@ -252,9 +265,11 @@ def align_score(doc: np.ndarray, item: np.ndarray, gain: np.ndarray, gap: int =
         np.maximum(new, 0, out=new)
         tops = new.reshape(-1, 8, pairs).max(1)
         np.maximum(best, tops.max(0), out=best)
+        across = new[::8] - jump_
         for k, cost in reach:
             np.subtract(new[:-k], cost, out=held[:-k])
             np.maximum(new[k:], held[:-k], out=new[k:])
+        np.maximum(new[7::8], across, out=new[7::8])
         far = np.maximum.accumulate(tops, 0)[:-1] - jump_
         later = new.reshape(-1, 8, pairs)[1:]
         np.maximum(later, far[:, None, :], out=later)
@@ -365,7 +380,7 @@ class Searcher:
         of = has.argmax(0)
         found = [np.empty(0, np.int64)]
         for lang, table in enumerate(self.tables):
-            mine = np.flatnonzero((of == lang) & (has[lang] > 0))
+            mine = np.flatnonzero(((of == lang) & (has[lang] > 0)) | (has[lang] >= self.p.language_words))
             for i in range(0, len(mine), chunk):
                 at = mine[i : i + chunk]
                 here = table[ids[at]].sum(1)
@@ -412,19 +427,23 @@ class Searcher:
         out: dict[tuple[int, int], tuple[int, int]] = {}
         for group in self._groups(hi - lo, np.array([len(t) for t in self.items.tokens])[item]):
             doc, query = self._padded(ids, lo[group], hi[group], item[group])
-            high = query.shape[1]
-            if high * 10 < 32_000:  # nearly all candidates end here
-                likely = align_score(*((x.astype(np.int16) for x in (doc, query)) if len(self.gain) < 32_000 else (doc, query)), self.gain) >= self.p.min_score - 12
-                group, doc, query = group[likely], doc[likely], query[likely]
+            small = len(self.gain) < 32_000
+            likely = align_score(doc.astype(np.int16) if small else doc, query.astype(np.int16) if small else query, self.gain) >= self.p.min_score
+            group, doc, query = group[likely], doc[likely], query[likely]  # nearly all candidates end here
             if not len(group):
                 continue
             score, matched = align(doc, query, self.gain)
             for r, s, m in zip(group, score, matched):
-                if m >= self.p.min_words and s >= self.p.min_score:
+                if m >= self.p.min_words and s >= self.p.min_score and self._answered(ids[lo[r] : hi[r]], int(item[r])):
                     key = (int(text[r]), int(item[r]))
                     out[key] = max(out.get(key, (0, 0)), (int(s), int(m)))
         return out
 
+    def _answered(self, ids: np.ndarray, item: int) -> bool:
+        """The region holds all words of the item's answer, or the item has none."""
+        answer = self.items.answers[item] if self.items.answers else ()
+        return len(answer) == 0 or bool(np.isin(answer, ids).all())
+
     def _chained(self, ids: np.ndarray, first: np.ndarray, known: dict) -> dict[tuple[int, int], tuple[int, int]]:
         block, item = self.alike(ids)
         text = np.searchsorted(first, block, "right") - 1
@@ -474,23 +493,52 @@ class Searcher:
                 start = i
 
 
-def leaked(docs: DataFrame, items_df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", item_lang: str = "lang") -> DataFrame:
+def _blocks(rows: Iterator[tuple], most: int) -> Iterator[list[tuple]]:
+    """Item rows in blocks of at most ``most`` words (one longer item alone)."""
+    block, held = [], 0
+    for row in rows:
+        n = len(words(row[1] or ""))
+        if block and held + n > most:
+            yield block
+            block, held = [], 0
+        block.append(row)
+        held += n
+    if block:
+        yield block
+
+
+def leaked(
+    docs: DataFrame, items_df: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", item_lang: str = "lang", item_answer: str | None = None
+) -> DataFrame:
     """(doc_id, item_id, score, words) of every document that holds a passage of an item, one row per pair.
 
     Null or empty texts and null keys give none; rows repeated under one key count once. ``items_df`` is the evaluation
-    set: it is collected, and it alone bounds what is broadcast.
+    set, read in the order of its keys, ``p.block_words`` words at a time; each block is searched for in all documents, so what
+    is broadcast has a bound whatever the set's size.
     """
     spark = ship(docs.sparkSession)
-    lang = F.col(item_lang) if item_lang in items_df.columns else F.lit("")
-    items = Items.of([tuple(r) for r in items_df.select(item_key, item_text, lang.cast("string")).distinct().toLocalIterator()])
+    columns = [F.col(item_key).alias("k"), F.col(item_text).alias("t"), (F.col(item_lang).cast("string") if item_lang in items_df.columns else F.lit("")).alias("l")]
+    if item_answer:
+        columns.append(F.col(item_answer).cast("string").alias("a"))
     kinds = [docs.schema[key].dataType.simpleString(), items_df.schema[item_key].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score int, words int"
-    if not items.keys:
+    out = None
+    for block in _blocks((tuple(r) for r in items_df.select(*columns).distinct().orderBy("k", "t").toLocalIterator()), p.block_words):
+        items = Items.of(block)
+        if items.keys:
+            found = _leaked(docs, items, p, key, text, schema, kinds)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
         return spark.createDataFrame([], schema)
+    return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("words").alias("words"))
+
+
+def _leaked(docs: DataFrame, items: Items, p: Params, key: str, text: str, schema: str, kinds: list[str]) -> DataFrame:
+    """Rows of ``leaked`` for one block of items, repeated where a document's row is."""
     kind = dtype_of(items)
     tokens = staged(tokenized(docs, items, key, text), "tokens")
     idf = weights(tokens, items, kind, 2 * BLOCK)
-    shared = spark.sparkContext.broadcast((items, idf, right_bases(tokens, items, idf, kind, p)))
+    shared = docs.sparkSession.sparkContext.broadcast((items, idf, right_bases(tokens, items, idf, kind, p)))
     out_types = [pa.int64() if k == "bigint" else pa.string() if k == "string" else pa.int32() for k in kinds]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,4 +555,4 @@ def leaked(docs: DataFrame, items_df: DataFrame, p: Params = Params(), key: str
                         names=["doc_id", "item_id", "score", "words"],
                     )
 
-    return tokens.mapInArrow(run, schema).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("words").alias("words"))
+    return tokens.mapInArrow(run, schema)

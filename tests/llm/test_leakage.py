@@ -79,7 +79,52 @@ def test_alignment_against_loops():
         fast = lk.align_score(doc, item, gain)
         for i in range(4):
             assert (score[i], words[i]) == slow_align(doc[i].tolist(), item[i].tolist(), gain)
-            assert score[i] - 12 <= fast[i] <= score[i]
+            assert fast[i] == score[i]
+
+
+def test_jumps_within_and_over_blocks_are_exact():
+    """Runs of 6 to 9 words left out at every place of a block, many times over."""
+    gain = np.array([10] * 40 + [0, 0], np.int32)
+    item = np.arange(40, dtype=np.int32)
+    for skip in (6, 7, 8, 9):
+        for at in range(8):
+            doc = np.concatenate([np.full(at, -1), *(np.append(item[i : i + 4], np.full(skip - 1 + (i == 4), -1)) for i in range(0, 40, 4))]).astype(np.int32)
+            doc = np.pad(doc, (0, -len(doc) % 8), constant_values=-1)[None]
+            score, words = lk.align(doc, item[None], gain)
+            assert lk.align_score(doc, item[None], gain) == score and (score[0], words[0]) == slow_align(doc[0].tolist(), item.tolist(), gain)
+
+
+def test_very_long_items():
+    """Neither the score nor the matches of a long passage run over, and both forms agree."""
+    item = np.tile(np.arange(100, dtype=np.int32), 60)[None, :6000]
+    gain = np.append(np.full(100, 10, np.int32), [0, 0])
+    score, words = lk.align(item, item, gain)
+    assert (score[0], words[0]) == (60_000, 6000) and lk.align_score(item, item, gain)[0] == 60_000
+
+
+def test_other_language_around(spark):
+    """A passage inside a text of another language is compared with the items of its own."""
+    rnd = random.Random(3)
+    voc = {lang: [f"{lang}{i}" for i in range(150)] for lang in ("en", "de")}
+    items = [(n, [rnd.choice(voc[lang]) for _ in range(60)], lang) for n, lang in enumerate(["en", "de", "en", "de"])]
+    docs = [(d, " ".join(rnd.choice(voc["de" if d % 2 else "en"]) for _ in range(150))) for d in range(120)]
+    part = [w for i, w in enumerate(items[0][1][10:40]) if i % 6 != 5]  # every sixth word left out
+    docs.append((177, docs[1][1] + " " + " ".join(part) + " " + docs[3][1]))
+    ev = spark.createDataFrame([(k, " ".join(w), lang) for k, w, lang in items], "item_id bigint, text string, lang string")
+    assert {(r.doc_id, r.item_id) for r in lk.leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), ev).collect()} == {(177, 0)}
+
+
+def test_blocks_of_items_and_answers(spark):
+    docs, items, want = make()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    ev = spark.createDataFrame(items, "item_id bigint, text string, lang string")
+    assert {(r.doc_id, r.item_id) for r in lk.leaked(df, ev, lk.Params(block_words=300)).collect()} == want
+    texts = [np.array(x) for x in ([0, 1, 2], [0, 2])]
+    search = lk.Searcher.__new__(lk.Searcher)
+    search.items = lk.Items.of([("k", "a b c", "en", "c a"), ("j", "a b", "en", None)])
+    at = search.items.keys.index("k")
+    voc = search.items.vocabulary
+    assert search._answered(np.array([[voc["a"], voc["c"], -1]]), at) and not search._answered(np.array([[voc["a"], -1]]), at) and search._answered(texts[1], 1 - at)
 
 
 @pytest.mark.parametrize("sizes", [[], [0], [1, 16, 17]])
