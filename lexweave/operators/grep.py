@@ -84,8 +84,11 @@ def selected_paths(path: str | Column, globs: list[str]) -> Column:
 
 
 def pair_weights(files: DataFrame, text: str) -> DataFrame:
-    """(pair, n, rarity): letter pairs of all texts, small ASCII letters; rarity 1 is the most frequent."""
-    pairs = files.select(F.explode(F.regexp_extract_all(_small(text), F.lit("(?s)(?=(..))"), 1)).alias("pair"))
+    """(pair, n, rarity): pairs of UTF-8 bytes (in hex) of all texts, ASCII letters small; rarity 1 is the most frequent.
+
+    There are at most 65,536 pairs, so the one window over them is bounded.
+    """
+    pairs = files.select(F.explode(F.regexp_extract_all(F.hex(F.encode(_small(text), "UTF-8")), F.lit("(?=(....)).."), 1)).alias("pair"))
     counted = pairs.groupBy("pair").agg(F.count("*").alias("n"))
     return counted.withColumn("rarity", F.row_number().over(Window.orderBy(F.desc("n"), "pair")).cast("int"))
 

@@ -17,7 +17,7 @@ def bm25(docs: DataFrame, query: str, key: str, fields: dict[str, float]) -> Dat
     One pass counts lengths and the query's terms per row (no postings are built for other words), one row of
     statistics is crossed in. Terms repeat-free in order of the query; null texts are empty. Scores have 6 places.
     """
-    terms = list(dict.fromkeys(_query_terms(query)))
+    terms = list(dict.fromkeys(query_terms(query)))
     # Tokens apart by two blanks: " term " can be counted by plain replacement, without arrays or lambdas.
     spaced = lambda f: F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(c(f), F.lit(""))), F.lit(" ")), r"[^\p{L}\p{N}]+", "  ")
     times = lambda x, y: (F.length(x) - F.length(F.replace(x, F.lit(y), F.lit("")))) / len(y)
@@ -49,16 +49,21 @@ def bm25(docs: DataFrame, query: str, key: str, fields: dict[str, float]) -> Dat
     return few.crossJoin(F.broadcast(stats)).select(key, F.round(score, 6).alias("score")).where("score > 0")
 
 
-def _query_terms(query: str) -> list[str]:
+def query_terms(query: str) -> list[str]:
     import re
 
     return [t for t in re.split(r"[\W_]+", query.lower()) if t]
 
 
-def top(scored: DataFrame, key: str, k: int, score: str = "score") -> DataFrame:
-    """The k best with their rank: score to 1/1000, then the key. A total order, so no tie is cut at random."""
-    best = scored.orderBy(F.round(F.col(score) * 1000).desc(), F.col(key)).limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.round(F.col(score) * 1000).desc(), F.col(key))).cast("int"))
+def top(scored: DataFrame, key: str, k: int, score: str = "score", ties: bool = False) -> DataFrame:
+    """The k best with their rank: score to 1/1000, then the key. A total order, so no tie is cut at random; with ``ties``
+    rows as good as the last one are kept too, however many."""
+    rounded = F.round(F.col(score) * 1000)
+    best = scored.orderBy(rounded.desc(), F.col(key)).limit(k)
+    if ties:
+        last = best.select(rounded.alias("s")).agg(F.min("s").alias("_least"), F.count("*").alias("_n"))
+        best = scored.crossJoin(F.broadcast(last)).where((rounded >= F.col("_least")) | (F.col("_n") < k)).drop("_least", "_n")
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(rounded.desc(), F.col(key))).cast("int"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -75,30 +80,35 @@ def cosine_to(vectors: DataFrame, query: DataFrame, key: str, vector: str) -> Da
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
     """(query_id, key, cosine, rank): for every query row its k best vectors in the order of ``top``; zero vectors have no
-    cosine and come last. Queries are compared a block at a time; each task keeps k rows of a query."""
+    cosine and come last. Queries are compared a block at a time by matrix products; each task keeps k rows of a query."""
     import numpy as np
     import pyarrow as pa
 
     spark = vectors.sparkSession
     of = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    unit = lambda m: m / np.where((n := np.sqrt((m * m).sum(1, keepdims=True))) == 0, np.nan, n)
 
     def best(shared):
         def run(batches):
             ids, q = shared.value
-            q = q / np.where((n := np.sqrt((q * q).sum(1, keepdims=True))) == 0, np.nan, n)
-            held = [np.empty((0, 3))] * len(ids)
+            q = unit(q)
+            keys, who, cos = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
             for batch in batches:
-                keys = batch.column(0).to_numpy(zero_copy_only=False)
-                v = np.array(batch.column(1).to_pylist(), float)
-                cos = np.round(q @ (v / np.where((n := np.sqrt((v * v).sum(1, keepdims=True))) == 0, np.nan, n)).T, 6)
-                for i, c in enumerate(cos):
-                    order = np.lexsort((keys, -np.round(c * 1000)))[:k]  # nan sorts last
-                    held[i] = np.concatenate([held[i], np.stack([keys[order], c[order], np.full(len(order), ids[i])], 1)])
-                    held[i] = held[i][np.lexsort((held[i][:, 0], -np.round(held[i][:, 1] * 1000)))[:k]]
-            rows = np.concatenate(held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[:, 2].astype(np.int64)), pa.array(rows[:, 0].astype(np.int64)), pa.array(rows[:, 1], from_pandas=True)], names=["query_id", key, "cosine"]
-            )
+                if not len(batch):
+                    continue
+                there = batch.column(0).to_numpy(zero_copy_only=False)
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(there), -1)
+                c = np.round(q @ unit(v).T, 6)
+                rank = np.where(np.isnan(c), -9e9, np.round(c * 1000))
+                cut = np.partition(rank, -k, 1)[:, -k][:, None] if len(there) > k else rank.min(1, keepdims=True, initial=0)
+                r, x = np.nonzero(rank >= cut)  # the k best and all that tie with the last of them
+                keys, who, cos = np.concatenate([keys, there[x]]), np.concatenate([who, r]), np.concatenate([cos, c[r, x]])
+                order = np.lexsort((keys, -np.where(np.isnan(cos), -9e9, np.round(cos * 1000)), who))
+                keys, who, cos = keys[order], who[order], cos[order]
+                first = np.searchsorted(who, np.arange(len(ids)))
+                keep = np.arange(len(who)) - first[who] < k
+                keys, who, cos = keys[keep], who[keep], cos[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[who]), pa.array(keys), pa.array(cos, from_pandas=True)], names=["query_id", key, "cosine"])
 
         return of(vectors).mapInArrow(run, f"query_id bigint, {key} bigint, cosine double")
 
@@ -118,16 +128,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     return out.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
 
-def rrf(lexical: DataFrame, vector: DataFrame, key: str, w1: float = 1.0, w2: float = 1.0, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists (key, rank): 1.0 for rank 1 in both, also if one list is empty.
-
-    A rank of 0 means absent from that list.
-    """
-    a = lexical.select(key, F.col("rank").alias("lex_rank"))
-    b = vector.select(key, F.col("rank").alias("vec_rank"))
+def rrf(lexical: DataFrame, vector: DataFrame, key: str | list[str], w1: float = 1.0, w2: float = 1.0, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of two ranked lists (key, rank), or of such lists per query with several keys: 1.0 for rank 1
+    in both, also if one list is empty. A rank of 0 means absent from that list."""
+    keys = [key] if isinstance(key, str) else key
+    a = lexical.select(*keys, F.col("rank").alias("lex_rank"))
+    b = vector.select(*keys, F.col("rank").alias("vec_rank"))
     part = lambda w, r: F.coalesce(F.lit(float(w)) / (k + F.col(r)), F.lit(0.0))
-    return a.join(b, key, "full_outer").select(
-        key, F.coalesce("lex_rank", F.lit(0)).alias("lex_rank"), F.coalesce("vec_rank", F.lit(0)).alias("vec_rank"), F.round((part(w1, "lex_rank") + part(w2, "vec_rank")) / ((w1 + w2) / (k + 1)), 6).alias("score")
+    return a.join(b, keys, "full_outer").select(
+        *keys, F.coalesce("lex_rank", F.lit(0)).alias("lex_rank"), F.coalesce("vec_rank", F.lit(0)).alias("vec_rank"), F.round((part(w1, "lex_rank") + part(w2, "vec_rank")) / ((w1 + w2) / (k + 1)), 6).alias("score")
     )
 
 
@@ -142,11 +151,17 @@ def adjusted(score: Column, title_path: Column, refs_in: Column, chunks: Column,
 
 def title_fraction(query: str, *parts: str | Column) -> Column:
     """Share of the query's distinct terms that label, title or path hold."""
-    terms = F.array(*(F.lit(t) for t in dict.fromkeys(_query_terms(query))))
+    terms = F.array(*(F.lit(t) for t in dict.fromkeys(query_terms(query))))
     have = F.flatten(F.array(*(F.coalesce(T.tokens(p), F.array().cast("array<string>")) for p in parts)))
     return F.size(F.array_intersect(terms, have)) / F.size(terms)
 
 
+def with_chunks(candidates: DataFrame, query: list[str], work: str) -> DataFrame:
+    """Candidates with ``chunks``, how many of the same list are of the same work (1 where the work is unknown)."""
+    n = candidates.where(F.col(work).isNotNull()).groupBy(*query, work).agg(F.count("*").alias("chunks"))
+    return candidates.join(n, [*query, work], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)).cast("bigint"))
+
+
 def collapse(scored: DataFrame, group: str, key: str, score: str = "score") -> DataFrame:
     """The best row per group (ties: least key): an aggregate, so no window over a hot group."""
     rest = [x for x in scored.columns if x != group]
@@ -203,7 +218,7 @@ def best_share(items: DataFrame, docs: DataFrame, item_key: str, text: str) -> D
 
 def best_lines(docs: DataFrame, query: str, key: str, text: str, cap: int = 220) -> DataFrame:
     """(key, line_no, hits, snippet): the line with most distinct query terms, the first of equals, cut at ``cap`` characters."""
-    terms = F.array(*(F.lit(t) for t in dict.fromkeys(_query_terms(query))))
+    terms = F.array(*(F.lit(t) for t in dict.fromkeys(query_terms(query))))
     each = F.transform(
         T.lines(text),
         lambda l, i: F.struct((-F.size(F.array_intersect(terms, T.tokens(l)))).alias("less"), (i + 1).alias("line_no"), l.alias("line")),
@@ -214,7 +229,22 @@ def best_lines(docs: DataFrame, query: str, key: str, text: str, cap: int = 220)
     )
 
 
-def within_budget(rows: DataFrame, order: list[Column], cost: str, budget: int, stop: bool = True) -> DataFrame:
-    """Leading rows whose running cost stays within the budget; the list ends at the first that overflows."""
+def within_budget(rows: DataFrame, order: list[Column], cost: str, budget: int) -> DataFrame:
+    """Leading rows whose running cost stays within the budget; the list ends at the first that overflows. A row costs at
+    least 1, so only the first ``budget`` + 1 rows can matter and no more reach the running sum."""
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
+    few = rows.withColumn(cost, F.greatest(F.col(cost), F.lit(1))).orderBy(*order).limit(budget + 1)
+    return few.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
+
+
+def shared_words(items: DataFrame, docs: DataFrame, item_key: str, doc_key: str, text: str, k: int) -> DataFrame:
+    """(item_key, doc_key, hits, rank): for every item the k documents with most of its distinct words (ties: least key).
+
+    Postings of the items' own words only, so what is joined has the size of the matches; words that every document has
+    are pre-aggregated per item and document before the ranking.
+    """
+    asked = items.select(item_key, F.explode(F.array_distinct(T.tokens(text))).alias("word"))
+    words = docs.where(F.col(text).isNotNull()).select(doc_key, F.explode(F.array_distinct(T.tokens(text))).alias("word"))
+    hits = words.join(F.broadcast(asked) if asked.count() <= 2_000_000 else asked, "word").groupBy(item_key, doc_key).agg(F.count("*").alias("hits"))
+    w = Window.partitionBy(item_key).orderBy(F.desc("hits"), doc_key)
+    return hits.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)

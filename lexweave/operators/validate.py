@@ -82,24 +82,23 @@ def held_lines(elements: DataFrame, flags: tuple[str, ...] = ("ocr_unverified",
     return elements.where(bad).select("doc_sha").distinct()
 
 
-def similar_contexts(sections: DataFrame, least: float = 0.8) -> DataFrame:
-    """Titles of one source whose words overlap by ``least`` or more (unequal texts; words over two letters).
+def similar_contexts(rows: DataFrame, group: str, text: str, least: float = 0.8) -> DataFrame:
+    """(group, a, b, jaccard): unequal texts of one group whose words (over two letters) overlap by ``least`` or more, a < b.
 
-    Prefix filter: only titles that share one of their rarest words are compared, which loses no pair.
+    Prefix filter: only texts that share one of their rarest words are compared, which loses no pair. Null groups and texts
+    are left out, repeated texts count once.
     """
-    t = sections.where("title IS NOT NULL AND source_name IS NOT NULL").select("source_name", "title").distinct()
-    t = t.withColumn("w", F.array_distinct(F.filter(T.tokens("title"), lambda x: F.length(x) > 2))).where(F.size("w") > 0)
-    df = t.select("source_name", F.explode("w").alias("word")).groupBy("source_name", "word").agg(F.count("*").alias("n"))
-    ranked = t.select("source_name", "title", F.size("w").alias("size"), F.explode("w").alias("word")).join(df, ["source_name", "word"])
-    w = Window.partitionBy("source_name", "title").orderBy("n", "word")
-    prefix = ranked.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
-    a = prefix.select("source_name", "word", F.col("title").alias("a"), F.col("size").alias("na"))
-    b = prefix.select("source_name", "word", F.col("title").alias("b"), F.col("size").alias("nb"))
-    pairs = a.join(b, ["source_name", "word"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("source_name", "a", "b").distinct()
-    wa, wb = t.select("source_name", F.col("title").alias("a"), F.col("w").alias("wa")), t.select("source_name", F.col("title").alias("b"), F.col("w").alias("wb"))
-    return pairs.join(wa, ["source_name", "a"]).join(wb, ["source_name", "b"]).withColumn("jaccard", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6)).where(F.col("jaccard") >= least).select("source_name", "a", "b", "jaccard")
-
-
+    t = rows.select(F.col(group).alias("g"), F.col(text).alias("t")).where("g IS NOT NULL AND t IS NOT NULL").distinct()
+    t = t.withColumn("w", F.array_distinct(F.filter(T.tokens("t"), lambda x: F.length(x) > 2))).where(F.size("w") > 0)
+    df = t.select("g", F.explode("w").alias("word")).groupBy("g", "word").agg(F.count("*").alias("n"))
+    ranked = t.select("g", "t", F.size("w").alias("size"), F.explode("w").alias("word")).join(df, ["g", "word"])
+    w = Window.partitionBy("g", "t").orderBy("n", "word")
+    prefix = ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
+    side = lambda x: prefix.select("g", "word", F.col("t").alias(x), F.col("size").alias(f"n{x}"))
+    pairs = side("a").join(side("b"), ["g", "word"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("g", "a", "b").distinct()
+    words = lambda x: t.select("g", F.col("t").alias(x), F.col("w").alias(f"w{x}"))
+    scored = pairs.join(words("a"), ["g", "a"]).join(words("b"), ["g", "b"]).withColumn("jaccard", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6))
+    return scored.where(F.col("jaccard") >= least).select(F.col("g").alias(group), "a", "b", "jaccard")
 
 
 def round_trip(published: DataFrame, source: DataFrame, key: str, text: str, exact: bool = True) -> DataFrame:

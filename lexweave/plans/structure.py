@@ -139,10 +139,11 @@ def connected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def held_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Notices' works held back when the works with confidence below 0.65 are."""
+    """Works held back when those with confidence below 0.65 are; what was there before 2014 is present already and passes
+    nothing on."""
     e = _edges(spark, d).where(F.col("type").isin("overrides", "narrows")).select("from_id", "to_id")
-    bad = table(spark, d, "sections").where("confidence < 0.65").select(names.plain_work("id").alias("id"))
-    return graph.held(e, bad, bad.limit(0))
+    s = table(spark, d, "sections").select(names.plain_work("id").alias("id"), "confidence", "effective")
+    return graph.held(e, s.where("confidence < 0.65"), s.where("effective < DATE '2014-01-01' AND id IS NOT NULL").select("id").distinct())
 
 
 def definitions_found(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +222,8 @@ UNION ALL SELECT DISTINCT wid, CAST(version AS INTEGER), CAST(0 AS INTEGER), wha
 top AS (SELECT to_id FROM edge WHERE type IN ('overrides', 'narrows') GROUP BY 1 ORDER BY count(*) DESC, to_id LIMIT 1),
 go AS (SELECT to_id AS id, 0 AS depth FROM top UNION SELECT b, depth + 1 FROM go JOIN both_ways ON a = id WHERE depth < 3)
 SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM go GROUP BY 1""",
-    "held_closure": f"""{_E}, held AS (SELECT DISTINCT {work('id')} AS id FROM sections WHERE confidence < 0.65 UNION SELECT e.from_id FROM edge e JOIN held h ON e.to_id = h.id WHERE e.type IN ('overrides', 'narrows'))
+    "held_closure": f"""{_E}, present AS (SELECT DISTINCT {work('id')} AS id FROM sections WHERE effective < DATE '2014-01-01' AND {work('id')} IS NOT NULL),
+held AS (SELECT DISTINCT {work('id')} AS id FROM sections WHERE confidence < 0.65 AND {work('id')} IS NOT NULL UNION SELECT e.from_id FROM edge e JOIN held h ON e.to_id = h.id WHERE e.type IN ('overrides', 'narrows') AND h.id NOT IN (SELECT id FROM present))
 SELECT DISTINCT id FROM held""",
     "definitions_found": f"""WITH {_DELIVERED}, t AS (SELECT DISTINCT wid, eff, regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM (SELECT wid, eff, unnest(regexp_extract_all(body, '{_DEF}', 1)) AS x FROM delivered WHERE body IS NOT NULL))
 SELECT wid AS id, slug, count(*) AS versions FROM t WHERE slug <> '' GROUP BY 1, 2""",

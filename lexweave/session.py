@@ -68,6 +68,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is the same for every run: what lies there is kept (a temporary folder is not)."""
+    return f"{shared_dir(spark)}/lexweave/{name}"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors' Python workers, once per application."""
     sc = spark.sparkContext
