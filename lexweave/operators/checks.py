@@ -97,7 +97,7 @@ def verdict_summary(judgments: DataFrame, item: str, verdict: str) -> DataFrame:
 
 def artifact_faults(elements: DataFrame) -> DataFrame:
     """(doc_sha, fault, n): rules an extracted file breaks and how often: a place given twice to different texts, pages that
-    go back in reading order, confidence out of range, a box that is not four numbers or has no area, rows without a place."""
+    go back in reading order, confidence out of range, a box that is missing, not four numbers or without area, rows without a place."""
     at = elements.where("doc_sha IS NOT NULL AND page IS NOT NULL AND seq IS NOT NULL")
     twice = at.groupBy("doc_sha", "seq").agg(F.countDistinct(F.coalesce("text", F.lit(""))).alias("n")).where("n > 1").groupBy("doc_sha").agg(F.count("*").alias("n")).withColumn("fault", F.lit("place_taken_twice"))
     pages = at.groupBy("doc_sha", "page").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
@@ -108,6 +108,7 @@ def artifact_faults(elements: DataFrame) -> DataFrame:
             F.when((F.col("confidence") < 0) | (F.col("confidence") > 1), "confidence_out_of_range"),
             F.when(box.isNotNull() & (F.size("bbox") != 4), "box_incomplete"),
             F.when((F.size("bbox") == 4) & ((F.get("bbox", 0) >= F.get("bbox", 2)) | (F.get("bbox", 1) >= F.get("bbox", 3))), "box_without_area"),
+            F.when(box.isNull(), "box_missing"),
             F.when(F.col("page").isNull() | F.col("seq").isNull(), "no_place"),
         )
     )

@@ -116,7 +116,7 @@ def artifact_faults(spark: SparkSession, d: str) -> DataFrame:
 
 def identity_faults(spark: SparkSession, d: str) -> DataFrame:
     """Works that are spelled in several ways."""
-    n = table(spark, d, "nodes").select("id", names.plain_work("id").alias("uid"))
+    n = table(spark, d, "sections").select("id", names.plain_work("id").alias("uid"))
     return checks.identity_faults(n, "id", "uid")
 
 
@@ -211,11 +211,11 @@ UNION ALL SELECT DISTINCT expr, place, to_id, 'inactive' FROM named n WHERE eff
     "verdict_summary": f"WITH {_VERDICTS} SELECT CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE 'disputed' END AS verdict, count(*) AS items, any_value(agreement) AS agreement FROM per, agreed GROUP BY 1",
     "artifact_faults": """WITH at_ AS (SELECT * FROM elements WHERE doc_sha IS NOT NULL AND page IS NOT NULL AND seq IS NOT NULL),
 f AS (SELECT doc_sha, 'confidence_out_of_range' AS fault FROM elements WHERE confidence < 0 OR confidence > 1 UNION ALL SELECT doc_sha, 'box_incomplete' FROM elements WHERE bbox IS NOT NULL AND len(bbox) <> 4
- UNION ALL SELECT doc_sha, 'box_without_area' FROM elements WHERE len(bbox) = 4 AND (bbox[1] >= bbox[3] OR bbox[2] >= bbox[4]) UNION ALL SELECT doc_sha, 'no_place' FROM elements WHERE page IS NULL OR seq IS NULL)
+ UNION ALL SELECT doc_sha, 'box_without_area' FROM elements WHERE len(bbox) = 4 AND (bbox[1] >= bbox[3] OR bbox[2] >= bbox[4]) UNION ALL SELECT doc_sha, 'box_missing' FROM elements WHERE bbox IS NULL UNION ALL SELECT doc_sha, 'no_place' FROM elements WHERE page IS NULL OR seq IS NULL)
 SELECT doc_sha, fault, count(*) AS n FROM f WHERE doc_sha IS NOT NULL GROUP BY 1, 2
 UNION ALL SELECT doc_sha, 'place_taken_twice', count(*) FROM (SELECT doc_sha, seq FROM at_ GROUP BY 1, 2 HAVING count(DISTINCT coalesce(text, '')) > 1) GROUP BY 1
 UNION ALL SELECT doc_sha, 'pages_out_of_order', count(*) FROM (SELECT doc_sha, lo, lag(hi) OVER (PARTITION BY doc_sha ORDER BY page) AS before FROM (SELECT doc_sha, page, min(seq) AS lo, max(seq) AS hi FROM at_ GROUP BY 1, 2)) WHERE lo < before GROUP BY 1""",
-    "identity_faults": f"SELECT 'identity_shared' AS fault, {work('id')} AS id, count(DISTINCT id) AS n FROM nodes WHERE {work('id')} IS NOT NULL GROUP BY 2 HAVING count(DISTINCT nodes.id) > 1",
+    "identity_faults": f"SELECT 'identity_shared' AS fault, uid AS id, count(DISTINCT raw) AS n FROM (SELECT id AS raw, {work('id')} AS uid FROM sections) WHERE uid IS NOT NULL GROUP BY 2 HAVING count(DISTINCT raw) > 1",
     "gate_blockers": f"""WITH {_VERDICTS}, m AS (SELECT 'items_' || split AS metric, CAST(count(*) AS DOUBLE) AS value FROM eval_items GROUP BY 1 UNION ALL SELECT 'agreement', agreement FROM agreed),
 g(metric, op, bound, gate) AS (VALUES ('items_heldout', 1, 100.0, '>= 100'), ('items_tuning', 1, 50.0, '>= 50'), ('items_smoke', 1, 10.0, '>= 10'), ('items_test', -1, 20.0, '<= 20'), ('agreement', 1, 0.95, '>= 0.95'))
 SELECT g.metric, m.value, g.gate FROM g LEFT JOIN m USING (metric) WHERE m.value IS NULL OR (op = 1 AND value < bound) OR (op = -1 AND value > bound)""",

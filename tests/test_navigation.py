@@ -104,7 +104,7 @@ def test_evidence_and_verdicts(spark):
 def test_artifacts_and_identities(spark):
     rows = [("d", 1, 1, "a", [0.0, 0.0, 1.0, 1.0], 0.5), ("d", 1, 1, "b", [0.0, 0.0, 0.0, 1.0], 1.5), ("d", 2, 0, "c", [1.0], None), ("d", None, 3, "e", None, None), (None, 1, 1, "x", None, 7.0)]
     got = {(r.fault, r.n) for r in checks.artifact_faults(spark.createDataFrame(rows, "doc_sha string, page int, seq int, text string, bbox array<double>, confidence double")).collect()}
-    assert got == {("place_taken_twice", 1), ("pages_out_of_order", 1), ("confidence_out_of_range", 1), ("box_incomplete", 1), ("box_without_area", 1), ("no_place", 1)}
+    assert got == {("place_taken_twice", 1), ("pages_out_of_order", 1), ("confidence_out_of_range", 1), ("box_incomplete", 1), ("box_without_area", 1), ("box_missing", 1), ("no_place", 1)}
     ledger = spark.createDataFrame([("a", "u"), ("b", "u"), ("c", "v"), ("c", "w"), (None, "u")], "n string, u string")
     assert {tuple(r) for r in checks.identity_faults(ledger, "n", "u").collect()} == {("identity_shared", "u", 2), ("native_split", "c", 2)}
 
