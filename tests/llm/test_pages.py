@@ -31,6 +31,33 @@ def test_recognition_cost():
     assert pages.recognition_cost("sea1ecl", "sealed") == 2
 
 
+def test_automaton_with_counts():
+    rnd = random.Random(4)
+    vocabulary = {"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 9))): rnd.randint(1, 50) for _ in range(300)}
+    trie = pages.Trie([*vocabulary.items()])
+    for least in (0, 10, 49, 99):
+        for word in ("abab", "a", "bbbbbbbbbbbb", "", "cd"):
+            got = {(c, d, n) for c, d, n in trie.within(word, 2, least)}
+            assert got == {(v, edits(word, v), n) for v, n in vocabulary.items() if n >= least and edits(word, v) <= 2}
+
+
+def test_differences():
+    for a, b, want in (("rnust", "must", ("rn", "m")), ("skyhght", "skylight", ("h", "li")), ("ab", "ab", None), ("walls", "wall", None), ("xxyyzz", "abcdef", None), ("aab", "ab", None), ("c", "e", ("c", "e"))):
+        assert pages.difference(a, b) == want
+
+
+def test_confusions_are_learned(spark):
+    """A confusion no list has: ``z`` read for ``k``. Words that are merely alike teach nothing."""
+    frequent = [f"{a}ok{b}er" for a in "abcdef" for b in "lmn"] + ["planter", "planner", "slanter"]
+    rare = [w.replace("k", "z") for w in frequent[:12]]
+    both = [(w, 100) for w in frequent] + [(w, 1) for w in rare]
+    df = spark.createDataFrame(both, "word string, n bigint")
+    near = pages.neighbours(df, df.where("n >= 3"), slice_words=7)
+    assert pages.learned(near) == [("z", "k")]
+    fixed = {(r.word, r.candidate) for r in pages.candidates(near, pages.Confusions([*pages.CONFUSED, *pages.learned(near)])).where("cost > 0").collect()}
+    assert {w for w, _ in fixed} == set(rare) and all((w, w.replace("z", "k")) in fixed for w in rare)
+
+
 SCHEMA = "doc_sha string, page int, seq int, element_type string, text string, bbox array<double>, font_size double, bold boolean, flags array<string>, confidence double"
 BODY = [
     "The WHO shall inspect the harbour wall and the load-bearing",
