@@ -158,7 +158,7 @@ def title_fraction(query: str, *parts: str | Column) -> Column:
 
 def with_chunks(candidates: DataFrame, query: list[str], work: str) -> DataFrame:
     """Candidates with ``chunks``, how many of the same list are of the same work (1 where the work is unknown)."""
-    n = candidates.where(F.col(work).isNotNull()).groupBy(*query, work).agg(F.count("*").alias("chunks"))
+    n = candidates.where(F.col(work).isNotNull()).groupBy(*query, work).agg(F.count("*").alias("chunks"))  # of listed candidates only
     return candidates.join(n, [*query, work], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)).cast("bigint"))
 
 

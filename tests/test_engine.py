@@ -26,7 +26,7 @@ def engine(spark):
         row("HB:AM-1", "Local cranes", "Crane means a hoist of the harbour.", None, kind="overlay", ov=["UCR:1-1.1"], na=[("UCR:1-1.2", "a")]),
     ]
     actions = spark.createDataFrame([(1, "RN:2021-1#instr-1", "RN:2021-1", "UCR:1-1.1", "a", "amend", date(2022, 1, 1), "x", 1, AT)], "feed_pos bigint, action_id string, notice string, target_id string, target_anchor string, kind string, effective date, text string, revision int, received_at timestamp")
-    sources = spark.createDataFrame([("ucr", "base", 100), ("hb", "overlay", 200)], "source_name string, kind string, precedence bigint")
+    sources = spark.createDataFrame([("ucr", "base", 100, "UCR"), ("hb", "overlay", 200, "HB")], "source_name string, kind string, precedence bigint, id_prefix string")
     return Engine(spark, spark.createDataFrame(rows, SECTIONS), actions, sources)
 
 
@@ -79,6 +79,31 @@ def test_graph_verbs(engine):
     assert {r.source_name: (r.works, r.expressions) for r in engine.status().collect()} == {"hb": (1, 1), "ucr": (3, 4)}
 
 
+def test_reading_and_leading_on(engine, spark, tmp_path):
+    r = engine.read("UCR:1-1", as_of="2022-06-01")
+    assert [c[0] for c in r["children"]] == ["UCR:1-1.2", "UCR:1-1.1"] and r["history"] == ["UCR:1-1@2020-01-01"] and engine.read("UCR:1-1.1")["refs_in"] == {"overrides": 1}
+    hits = spark.createDataFrame([("HB:AM-1", "HB:AM-1@2020-01-01")], "id string, expr string")
+    assert {x.to_id for x in engine.expand(hits, as_of="2022-06-01").collect()} == {"UCR:1-1.1", "UCR:1-1.2"}
+    low = spark.createDataFrame([("UCR:1-1.1", "UCR:1-1.1@2022-01-01")], "id string, expr string")
+    assert [(x.place, x.id) for x in engine.expand(low, "ancestors", "2022-06-01").collect()] == [(0, "UCR:1-1")]
+    assert [c["expr"] for c in engine.context(hits, 100, "2022-06-01")] == ["UCR:1-1.1@2022-01-01", "UCR:1-1.2@2020-01-01"] and engine.context(hits, 5, "2022-06-01") == []
+    passages_ = spark.createDataFrame([("p1", ["UCR:1-1@2020-01-01", "UCR:1-1.1@2020-01-01"])], "passage string, members array<string>")
+    assert [x["id"] for x in engine.read_passage(passages_, "p1")] == ["UCR:1-1", "UCR:1-1.1"] and len(engine.read_passage(passages_, "p1", "2021-01-01")) == 2
+    for bad in (("p2", None), ("p1", "2022-06-01")):
+        with pytest.raises(NotFound):
+            engine.read_passage(passages_, *bad)
+    assert set(ids(engine.map_complete("UCR:1-1"))) == {"UCR:1-1.1", "UCR:1-1.2"} and {x.anchor for x in engine.map_complete("UCR:1-1.1").collect()} == {"a", "b"}
+    assert engine.near_terms("big crane") == ["Crane"]
+    assert [x.anchor for x in engine.grep(["idle"], globs=["*2022*"], annotate=True).collect()] == ["b"] and engine.grep(["crane"], max_hits=1).columns == ["path", "lines"]
+    assert engine.validate().count() > 0
+    plain = [tuple(x) for x in engine.search("crane duties").collect()]
+    engine.build_index(f"file://{tmp_path}/index")
+    try:
+        assert [x[0] for x in engine.search("crane duties").collect()] == [x[0] for x in plain]
+    finally:
+        engine.index = None
+
+
 def test_prefilter_never_loses_a_match(spark):
     import random
     import re
