@@ -450,5 +450,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def rates(scores: DataFrame) -> DataFrame:
-    """Documents, flagged ones and their rate per source (partially aggregated before the shuffle)."""
-    return scores.groupBy("source").agg(F.count("*").alias("docs"), F.count_if("flagged").alias("flagged")).withColumn("rate", F.col("flagged") / F.col("docs"))
+    """Documents, flagged ones and their rate per source (partially aggregated before the shuffle); no rate without a model."""
+    return scores.groupBy("source").agg(F.count("*").alias("docs"), F.count_if("flagged").alias("flagged"), F.avg(F.col("flagged").cast("double")).alias("rate"))
