@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +36,26 @@ def bootstrap(rows: DataFrame, value: str, by: str, rounds: int = 1000, seed: in
     weight in every round from its own hash, so partial sums merge and no group is held in one place."""
     ship(rows.sparkSession)
 
+    # Poisson(1) by inversion of uniform draws, each a hash of the row's hash and the round.
+    steps = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(12)])
+    salts = np.random.default_rng(seed).integers(1, 2**63, rounds).astype(np.uint64)
+
+    def weights(h: np.ndarray) -> np.ndarray:
+        z = h.astype(np.uint64)[:, None] ^ salts
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z ^= z >> np.uint64(31)
+        return np.searchsorted(steps, (z >> np.uint64(11)).astype(float) / 2**53)
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for pdf in batches:
             for g, part in pdf.groupby("g", dropna=False):
                 total, weight = sums.setdefault(g, (np.zeros(rounds), np.zeros(rounds)))
-                for h, v in zip(part["h"], part["v"]):
-                    w = np.random.default_rng([seed, h & 0xFFFFFFFF, (h >> 32) & 0xFFFFFFFF]).poisson(1.0, rounds)
-                    total += w * v
-                    weight += w
+                for i in range(0, len(part), 2000):
+                    w = weights(part["h"].to_numpy()[i : i + 2000])
+                    total += part["v"].to_numpy()[i : i + 2000] @ w
+                    weight += w.sum(0)
         yield pd.DataFrame([(g, i, t[i], w[i]) for g, (t, w) in sums.items() for i in range(rounds)], columns=["g", "i", "t", "w"])
 
     data = rows.where(F.col(value).isNotNull()).select(F.col(by).cast("string").alias("g"), F.xxhash64(*rows.columns).alias("h"), F.col(value).cast("double").alias("v"))
@@ -54,8 +66,11 @@ def bootstrap(rows: DataFrame, value: str, by: str, rounds: int = 1000, seed: in
 
 def round_robin(rows: DataFrame, stratum: str, order: list[Column], n: int) -> DataFrame:
     """``n`` rows, one of each stratum in turn, in the given order within it."""
+    # No row beyond a stratum's first n can be drawn, so a large stratum is cut in pieces before it is ordered in one place.
+    salted = rows.withColumn("_piece", F.pmod(F.xxhash64(*rows.columns), F.lit(64)))
+    few = salted.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum, "_piece").orderBy(*order))).where(F.col("_rn") <= n).select(*rows.columns)
     w = Window.partitionBy(stratum).orderBy(*order)
-    return rows.withColumn("turn", F.row_number().over(w).cast("int")).orderBy("turn", stratum).limit(n)
+    return few.withColumn("turn", F.row_number().over(w).cast("int")).orderBy("turn", stratum).limit(n)
 
 
 def seeded_sample(rows: DataFrame, stratum: str, key: str, per_stratum: int, seed: str) -> DataFrame:

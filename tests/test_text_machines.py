@@ -170,3 +170,34 @@ def test_columns(spark):
     stuck = spark.createDataFrame([("\n".join(["same"] * 15 + ["x", "y", "z", "q", "r", "s"]),), ("a\nb",), (None,)], "t string")
     assert [x[0] for x in stuck.select(T.degenerate("t")).collect()] == [True, False, False]
     assert re.sub("x", "", "x") == ""
+
+
+def test_lcs_in_little_memory():
+    """The same pairs as from the full matrix."""
+    rnd = random.Random(11)
+    for n, m in ((0, 3), (1, 1), (7, 40), (50, 50), (33, 5)):
+        a, b = [rnd.choice("abcd") for _ in range(n)], [rnd.choice("abcd") for _ in range(m)]
+        rows = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if a[i] == b[j] else max(rows[i][j + 1], rows[i + 1][j])
+        want, i, j = [], n, m
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                want.append((i, j))
+        assert fuzzy.lcs(a, b) == want[::-1]
+    long = [str(i % 997) for i in range(20_000)]
+    assert len(fuzzy.lcs(long, long)) == 20_000
+
+
+def test_dual_reading():
+    page = "one line here\ntwo lines here"
+    assert fuzzy.dual_reading(page, page) == [("one line here", ""), ("two lines here", "")]
+    assert fuzzy.dual_reading(page, "x") == [("one line here", ""), ("two lines here", "")]
+    stuck = "\n".join(["again"] * 30)
+    assert [f for _, f in fuzzy.dual_reading(stuck, page)] == ["secondary_only"] * 2 and fuzzy.dual_reading("", page) == []
