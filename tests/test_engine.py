@@ -95,7 +95,7 @@ def test_reading_and_leading_on(engine, spark, tmp_path):
     assert set(ids(engine.map_complete("UCR:1-1"))) == {"UCR:1-1.1", "UCR:1-1.2"} and {x.anchor for x in engine.map_complete("UCR:1-1.1").collect()} == {"a", "b"}
     assert engine.near_terms("big crane") == ["Crane"]
     assert [x.anchor for x in engine.grep(["idle"], globs=["*2022*"], annotate=True).collect()] == ["b"] and engine.grep(["crane"], max_hits=1).columns == ["path", "lines"]
-    assert engine.validate().count() > 0
+    assert engine.validate().collect() == []
     plain = [tuple(x) for x in engine.search("crane duties").collect()]
     engine.build_index(f"file://{tmp_path}/index")
     try:
