@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import names
@@ -82,23 +82,43 @@ def held_lines(elements: DataFrame, flags: tuple[str, ...] = ("ocr_unverified",
     return elements.where(bad).select("doc_sha").distinct()
 
 
-def similar_contexts(rows: DataFrame, group: str, text: str, least: float = 0.8) -> DataFrame:
+def similar_contexts(rows: DataFrame, group: str, text: str, least: float = 0.8, few: int = 256) -> DataFrame:
     """(group, a, b, jaccard): unequal texts of one group whose words (over two letters) overlap by ``least`` or more, a < b.
 
-    Prefix filter: only texts that share one of their rarest words are compared, which loses no pair. Null groups and texts
-    are left out, repeated texts count once.
+    Groups of up to ``few`` texts compare each with each. In larger ones a prefix filter comes first: only texts that share one
+    of their rarest words are compared, which loses no pair. Null groups and texts are left out, repeated texts count once.
+    No join is broadcast: Spark takes a text's words for one row, so it would send the driver far more than it expects.
     """
+    bound = least - 1e-6  # what is rounded up to ``least`` counts
+    merge = lambda a, b, on: a.join(b.hint("merge"), on)
+    words = F.array_distinct(F.filter(T.tokens("t"), lambda x: F.length(x) > 2))
     t = rows.select(F.col(group).alias("g"), F.col(text).alias("t")).where("g IS NOT NULL AND t IS NOT NULL").distinct()
-    t = t.withColumn("w", F.array_distinct(F.filter(T.tokens("t"), lambda x: F.length(x) > 2))).where(F.size("w") > 0)
-    df = t.select("g", F.explode("w").alias("word")).groupBy("g", "word").agg(F.count("*").alias("n"))
-    ranked = t.select("g", "t", F.size("w").alias("size"), F.explode("w").alias("word")).join(df, ["g", "word"])
-    w = Window.partitionBy("g", "t").orderBy("n", "word")
-    prefix = ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
-    side = lambda x: prefix.select("g", "word", F.col("t").alias(x), F.col("size").alias(f"n{x}"))
-    pairs = side("a").join(side("b"), ["g", "word"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("g", "a", "b").distinct()
-    words = lambda x: t.select("g", F.col("t").alias(x), F.col("w").alias(f"w{x}"))
-    scored = pairs.join(words("a"), ["g", "a"]).join(words("b"), ["g", "b"]).withColumn("jaccard", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6))
-    return scored.where(F.col("jaccard") >= least).select(F.col("g").alias(group), "a", "b", "jaccard")
+    t = merge(t, t.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "g")
+
+    def alike(na: Column, nb: Column) -> Column:
+        return (F.least(na, nb) > 0) & (F.least(na, nb) >= bound * F.greatest(na, nb))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("wa", "wb"))
+        return pairs.withColumn("jaccard", F.round(F.try_divide(both, F.size("wa") + F.size("wb") - both), 6)).where(F.col("jaccard") >= least)
+
+    side = lambda x: t.where(F.col("n") <= few).select("g", F.col("t").alias(x), words.alias(f"w{x}"))
+    direct = scored(merge(side("a"), side("b"), "g").where((F.col("a") < F.col("b")) & alike(F.size("wa"), F.size("wb"))))
+
+    # A large group's texts are spread over the tasks; digests stand for them until pairs are found.
+    # (explode_outer: for explode Spark would split all texts once more, where the rows are read; texts without words fall out in the join)
+    m = t.where(F.col("n") > few).select("g", "t").repartition("g", "t").select("g", "t", F.coalesce(F.unhex(F.sha2("t", 256)), F.lit(b"")).alias("k"), words.alias("w"))
+    df = m.select("g", F.explode_outer("w").alias("word")).groupBy("g", "word").agg(F.count("*").alias("n"))
+    ranked = merge(m.select("g", "k", F.size("w").alias("size"), F.explode_outer("w").alias("word")), df, ["g", "word"])
+    w = Window.partitionBy("g", "k").orderBy("n", "word")
+    prefix = ranked.withColumn("place", F.row_number().over(w)).where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * bound) + 1) & (F.col("n") > 1))
+    end = lambda x: prefix.select("g", "word", F.col("k").alias(f"k{x}"), F.col("size").alias(f"n{x}"))
+    found = merge(end("a"), end("b"), ["g", "word"]).where((F.col("ka") < F.col("kb")) & alike(F.col("na"), F.col("nb"))).select("g", "ka", "kb").distinct()
+    full = lambda x: m.select("g", F.col("k").alias(f"k{x}"), F.col("t").alias(x), F.col("w").alias(f"w{x}"))
+    indirect = scored(merge(merge(found, full("a"), ["g", "ka"]), full("b"), ["g", "kb"]))
+
+    out = direct.select("g", "a", "b", "jaccard").union(indirect.select("g", F.least("a", "b"), F.greatest("a", "b"), "jaccard"))
+    return out.withColumnRenamed("g", group)
 
 
 def round_trip(published: DataFrame, source: DataFrame, key: str, text: str, exact: bool = True) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,47 @@ def test_shared_folder(spark, tmp_path):
     at = f"file://{tmp_path}/p/one"
     assert session.put_if_absent(spark, at, "a") and not session.put_if_absent(spark, at, "b") and session.read_text(spark, at) == "a"
     assert os.listdir(tmp_path / "p") == ["one"] or all(f.startswith(".") for f in set(os.listdir(tmp_path / "p")) - {"one"})
+
+
+def _overlapping(rows, least):
+    """Brute force: each text with each of its group."""
+    words = lambda t: {x for x in re.split(r"[^a-z0-9]+", t.lower()) if len(x) > 2}
+    texts = {(g, t) for g, t in rows if g is not None and t is not None and words(t)}
+    out = set()
+    for g, a in texts:
+        for h, b in texts:
+            if g == h and a < b and round(len(words(a) & words(b)) / len(words(a) | words(b)), 6) >= least:
+                out.add((g, a, b))
+    return out
+
+
+@pytest.mark.parametrize("few", [1, 6, 64])
+def test_similar_contexts_of_small_and_large_groups(spark, few):
+    rng = random.Random(3)
+    rows = [(None, "alpha beta gamma"), ("g1", None), ("g1", ""), ("g1", "of to"), ("g1", "of in"), ("lone", "alpha beta gamma")]
+    for g, n in (("g1", 4), ("g2", 12), ("g3", 30)):
+        for _ in range(n):
+            base = [f"word{rng.randrange(25)}" for _ in range(12)]
+            for k in range(3):
+                text = base[: 12 - k] + [f"word{rng.randrange(25)}" for _ in range(k)]
+                rng.shuffle(text)
+                rows += [(g, " ".join(text))] * rng.randint(1, 2)
+    df = spark.createDataFrame(rows, "g string, t string")
+    got = [tuple(r)[:3] for r in validate.similar_contexts(df, "g", "t", few=few).collect()]
+    want = _overlapping(rows, 0.8)
+    assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("few", [1, 64])
+def test_similar_contexts_rounded_up_to_the_bound(spark, few):
+    df = spark.createDataFrame([("g", "one two three"), ("g", "one two")], "g string, t string")
+    got = validate.similar_contexts(df, "g", "t", least=0.666667, few=few).collect()
+    assert [tuple(r) for r in got] == [("g", "one two", "one two three", 0.666667)]
+
+
+def test_similar_contexts_send_no_texts_to_the_driver(spark, tmp_path):
+    # read from a file: Spark then knows a size, and took the words of all texts for few rows
+    spark.createDataFrame([("g", "one two three four five"), ("g", "one two three four five six")], "g string, t string").write.parquet(f"{tmp_path}/t")
+    found = validate.similar_contexts(spark.read.parquet(f"{tmp_path}/t"), "g", "t")
+    assert found.count() == 1
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
